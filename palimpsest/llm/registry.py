@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import sentencepiece_codec
+from . import hilbert, sentencepiece_codec, sketch
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_sentencepiece": sentencepiece_codec.query}
+    return {"op1_sentencepiece": sentencepiece_codec.query, "op2_sketch": sketch.query, "op4_hilbert": hilbert.query}
 
 
 def oracle_sql() -> dict[str, str]:
