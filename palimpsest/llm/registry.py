@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import hilbert, sentencepiece_codec, sketch
+from . import chat, hilbert, packing, sentencepiece_codec, sketch, toxicity, warc
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_sentencepiece": sentencepiece_codec.query, "op2_sketch": sketch.query, "op4_hilbert": hilbert.query}
+    return {
+        "op1_sentencepiece": sentencepiece_codec.query,
+        "op2_sketch": sketch.query,
+        "op4_hilbert": hilbert.query,
+        "op5_warc": warc.query,
+        "op6_toxicity": toxicity.query,
+        "op7_packing": packing.query,
+        "op9_chat": chat.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
