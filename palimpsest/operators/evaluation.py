@@ -69,13 +69,15 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n01, n10, p): exact two-sided test of paired 0/1 outcomes; the tail is summed from logarithms of binomial terms."""
     n = df.agg(F.coalesce(F.sum(((F.col(a) == 0) & (F.col(b) == 1)).cast("long")), F.lit(0)).alias("n01"), F.coalesce(F.sum(((F.col(a) == 1) & (F.col(b) == 0)).cast("long")), F.lit(0)).alias("n10"))
 
-    @F.udf("double")
-    def tail(n01: int, n10: int) -> float:
-        n = n01 + n10
-        log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(min(n01, n10) + 1)]
-        return min(1.0, 2.0 * math.fsum(map(math.exp, log)))
+    n = n.withColumns({"all": (F.col("n01") + F.col("n10")).cast("double"), "fewer": F.least("n01", "n10")})
+    start = F.struct((F.col("all") * math.log(0.5)).alias("log"), F.exp(F.col("all") * math.log(0.5)).alias("sum"))
 
-    return n.withColumn("p", tail("n01", "n10"))  # of one row
+    def add(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.log((F.col("all") - i + 1.0) / i)
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
+
+    steps = F.when(F.col("fewer") > 0, F.sequence(F.lit(1).cast("long"), F.col("fewer"))).otherwise(F.array().cast("array<bigint>"))
+    return n.select("n01", "n10", F.least(F.lit(1.0), 2.0 * F.aggregate(steps, start, add, lambda acc: acc["sum"])).alias("p"))
 
 
 def budget_sweep(ranked: DataFrame, gold: DataFrame, queries: DataFrame, budgets: list[int]) -> DataFrame:
