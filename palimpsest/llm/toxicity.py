@@ -15,6 +15,7 @@ the smoothed base rate. Repeated rows score alike. Columns other than id and tex
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample and of the words that have a weight.
-PER_CLASS, VOCABULARY = 3000, 2000
-#: Documents of the sample in which a word must occur, passes of the optimiser, its step, and the weights' decay.
-LEAST_DOCS, PASSES, STEP, DECAY = 4, 120, 0.1, 1e-4
+PER_CLASS, VOCABULARY = 2000, 2000
+#: Documents of the sample in which a word must occur, passes of the optimiser, its step, and the decay of weights, shared by all documents.
+LEAST_DOCS, PASSES, STEP, DECAY = 4, 120, 0.1, 0.1
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
 _WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
@@ -71,10 +72,13 @@ def fit(texts: list[str], toxic: list[int], weight: list[float]) -> Model:
     base = (weight @ y + 0.5) / (weight.sum() + 1) if len(y) else 0.01
     if not len(y) or not y.any() or y.all():
         return Model({}, float(np.log(base / (1 - base))))
-    bags = [[features(t.lower(), a, b) for a, b in sentences(t.lower())] or [set()] for t in texts]
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, toxic, strict=True):
-        seen[label].update(set().union(*bag))
+    # Features are made twice and never kept but as numbers: the driver holds counts, then the chosen columns.
+    seen, lengths = [Counter(), Counter()], []
+    for text, label in zip(texts, toxic, strict=True):
+        low = text.lower()
+        spans = sentences(low) or [(0, 0)]
+        lengths.append(len(spans))
+        seen[label].update(set().union(*[features(low, a, b) for a, b in spans]))
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
 
     def told(w: str) -> float:  # how unlike the shares of toxic and of clean documents are that have the word, in standard errors
@@ -82,24 +86,30 @@ def fit(texts: list[str], toxic: list[int], weight: list[float]) -> Model:
         share = (a + b) / sum(n)
         return abs(a / n[1] - b / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-9)
 
-    common_ = [w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= LEAST_DOCS]
+    common_ = [w for k in (0, 1) for w, count in seen[k].items() if (k == 0 or w not in seen[0]) and count + seen[1 - k][w] >= LEAST_DOCS]
     words = sorted(common_, key=lambda w: (-told(w), w))[:VOCABULARY]
+    del seen
     at = {w: k for k, w in enumerate(words)}
-    flat = [[at[w] for w in s if w in at] for bag in bags for s in bag]
-    sizes = np.array([len(s) for s in flat])
-    column = np.array([k for s in flat for k in s], dtype=np.int64)
-    row = np.repeat(np.arange(len(flat)), sizes)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    flat, sizes = array("i"), []
+    for text in texts:
+        low = text.lower()
+        for a, b in sentences(low) or [(0, 0)]:
+            found = [at[w] for w in features(low, a, b) if w in at]
+            flat.extend(found)
+            sizes.append(len(found))
+    column = np.array(flat, dtype=np.int32)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(texts)), lengths)
     weight = weight / weight.sum()
-    w, b = np.zeros(len(words)), float(np.log(base / (1 - base)) - np.log(len(flat) / len(bags)))
+    w, b = np.zeros(len(words)), float(np.log(base / (1 - base)) - np.log(len(sizes) / len(texts)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, PASSES + 1):
-        s = np.clip(np.bincount(row, w[column], len(flat)) + b, -30, 30)
+        s = np.clip(np.bincount(row, w[column], len(sizes)) + b, -30, 30)
         p = 1 / (1 + np.exp(-s))
-        clean = np.bincount(doc, np.logaddexp(0, s), len(bags))  # - log of the chance that no sentence is toxic
+        clean = np.bincount(doc, np.logaddexp(0, s), len(texts))  # - log of the chance that no sentence is toxic
         toxic_ = np.maximum(-np.expm1(-clean), 1e-9)
         g = (weight * np.where(y == 1, -np.exp(-clean) / toxic_, 1.0))[doc] * p
-        gw, gb = np.bincount(column, g[row], len(words)) + DECAY * w, g.sum()
+        gw, gb = np.bincount(column, g[row], len(words)) + DECAY / len(texts) * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
