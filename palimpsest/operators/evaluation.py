@@ -91,6 +91,7 @@ def stratified_sample(df: DataFrame, by: str, order: Column, size: int) -> DataF
     """A proportional share of each stratum, at least one row, by a seeded hash order."""
     rows = df.withColumn("__o", order)
     n = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    share = n.join(F.broadcast(n.agg(F.sum("__n").alias("__all"))), F.lit(True)).select(by, F.greatest(F.lit(1), F.round(size * F.col("__n") / F.col("__all")).cast("long")).alias("__share"))
+    whole = df.agg(F.count("*")).scalar()
+    share = n.select(by, F.greatest(F.lit(1), F.round(size * F.col("__n") / whole).cast("long")).alias("__share"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("__o"))
     return rows.withColumn("__r", place).join(share, by).filter(F.col("__r") <= F.col("__share")).drop("__o", "__r", "__share")

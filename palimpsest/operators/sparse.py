@@ -24,8 +24,8 @@ def tfidf_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     Only documents that have a query term are touched; norms come from the index alone. queries: query_id, text; docs: mem_id, text.
     """
     index = postings(docs)
-    n = docs.agg(F.count("*").cast("double").alias("n"))
-    idf = document_frequency(index).crossJoin(F.broadcast(n)).select("term", F.log(1.0 + F.col("n") / (1.0 + F.col("df"))).alias("idf"))  # one row
+    n = docs.agg(F.count("*").cast("double")).scalar()
+    idf = document_frequency(index).select("term", F.log(1.0 + n / (1.0 + F.col("df"))).alias("idf"))
     weighed = index.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("mem_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
     asked = postings(queries, "query_id").join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
@@ -38,10 +38,10 @@ def bm25(queries: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
     """(query_id, mem_id, bm25); a query term counts as often as it occurs; pairs without a common term are left out."""
     index = postings(docs)
     size = docs.select("mem_id", F.size(tokens("text")).cast("double").alias("size"))
-    whole = size.agg(F.count("*").cast("double").alias("n"), F.avg("size").alias("mean"))
-    df = document_frequency(index).crossJoin(F.broadcast(whole)).select("term", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+    n, mean = docs.agg(F.count("*").cast("double")).scalar(), size.agg(F.avg("size")).scalar()
+    df = document_frequency(index).select("term", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     asked = postings(queries, "query_id").join(df, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    sized = size.crossJoin(F.broadcast(whole)).select("mem_id", (c.bm25_k1 * (1.0 - c.bm25_b + c.bm25_b * F.col("size") / F.col("mean"))).alias("room"))  # one row
+    sized = size.select("mem_id", (c.bm25_k1 * (1.0 - c.bm25_b + c.bm25_b * F.col("size") / mean)).alias("room"))
     met = asked.join(index, "term").join(sized, "mem_id")
     gain = F.col("qw") * F.col("tf") * (c.bm25_k1 + 1.0) / (F.col("tf") + F.col("room"))
     return met.groupBy("query_id", "mem_id").agg(F.sum(gain).alias("bm25"))

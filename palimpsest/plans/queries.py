@@ -94,10 +94,9 @@ def actr_base_level(spark, d):
     order = Window.partitionBy("user_id").orderBy(F.col("minute").desc())
     last = e.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= C.actr_max_history)
     held = last.groupBy("user_id").agg(F.sort_array(F.collect_list("minute")).alias("history"), F.max("minute").alias("at"))
-    now = held.agg((F.max("at") + 1).alias("now"))
-    level = held.join(F.broadcast(now), F.lit(True)).select("user_id", base_level(F.col("now"), F.col("history"), F.col("at"), C).alias("level"))  # one row
-    low_high = level.agg(F.min("level").alias("low"), F.max("level").alias("high"))
-    return level.join(F.broadcast(low_high), F.lit(True)).select("user_id", r6("level", "level"), r6((F.col("level") - F.col("low")) / (F.col("high") - F.col("low")), "head"))
+    level = held.withColumn("now", e.agg(F.max("minute") + 1).scalar()).select("user_id", base_level(F.col("now"), F.col("history"), F.col("at"), C).alias("level"))
+    low, high = level.agg(F.min("level")).scalar(), level.agg(F.max("level")).scalar()
+    return level.select("user_id", r6("level", "level"), r6((F.col("level") - low) / (high - low), "head"))
 
 
 def tension_split(spark, d):
