@@ -95,3 +95,20 @@ def stratified_sample(df: DataFrame, by: str, order: Column, size: int) -> DataF
     share = n.select(by, F.greatest(F.lit(1), F.round(size * F.col("__n") / whole).cast("long")).alias("__share"))
     place = F.row_number().over(Window.partitionBy(by).orderBy("__o"))
     return rows.withColumn("__r", place).join(share, by).filter(F.col("__r") <= F.col("__share")).drop("__o", "__r", "__share")
+
+
+def evidence_ids(recalled: DataFrame, turns: DataFrame) -> DataFrame:
+    """Recalled rows with the id of the turn that has their text; of several such turns the last. recalled: text; turns: store_id, turn, text, dia_id."""
+    last = turns.groupBy("store_id", "text").agg(F.max_by("dia_id", "turn").alias("dia_id"))
+    return recalled.join(last, ["store_id", "text"], "left")
+
+
+def capped(questions: DataFrame, most: int, by: str = "sample_id", order: str = "q_id") -> DataFrame:
+    """At most the first ``most`` questions of each sample."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return questions.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
+
+
+def matched(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Results of two runs side by side: keys, a, b; b is null where the second run lacks the row."""
+    return a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys, "left")

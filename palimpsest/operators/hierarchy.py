@@ -48,8 +48,13 @@ def leaders(keys: np.ndarray, theta: float, least: int, check_mean: bool) -> lis
     return out
 
 
-def greedy_clusters(memories: DataFrame, c: Config, level: int = 1) -> DataFrame:
-    """(store_id, cluster, mem_id): order-dependent, so each store is one group in one task; stores run in parallel."""
+def greedy_clusters(memories: DataFrame, c: Config, level: int = 1, assigned: DataFrame | None = None) -> DataFrame:
+    """(store_id, cluster, mem_id): order-dependent, so each store is one group in one task; stores run in parallel.
+
+    assigned: (store_id, mem_id) of members that patterns have already; they take no part.
+    """
+    if assigned is not None:
+        memories = memories.join(assigned, ["store_id", "mem_id"], "left_anti")
     theta, least, check = (c.theta_cluster, c.min_cluster_size, True) if level == 1 else (c.theta_identity, c.min_identity_size, False)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -61,6 +66,15 @@ def greedy_clusters(memories: DataFrame, c: Config, level: int = 1) -> DataFrame
     return memories.select("store_id", "mem_id", "key").groupBy("store_id").applyInPandas(run, "store_id long, cluster long, mem_id long")
 
 
+def consolidate(memories: DataFrame, c: Config, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(l2, l3): patterns of memories, then identities of patterns (Eq 22). Ids follow the order in which clusters form."""
+    members = greedy_clusters(memories, c).join(memories.select("store_id", "mem_id", "key", "value", "strength"), ["store_id", "mem_id"])
+    l2 = centroids(members, ["store_id", "cluster"], dim).withColumnRenamed("cluster", "l2_id")
+    nodes = l2.select("store_id", F.col("l2_id").alias("mem_id"), "key", "value", "strength")
+    found = greedy_clusters(nodes, c, level=2).join(nodes, ["store_id", "mem_id"])
+    return l2, centroids(found, ["store_id", "cluster"], dim).withColumnRenamed("cluster", "l3_id")
+
+
 def boosts(queries: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     """(query_id, child, name): the largest positive similarity of a query to a group that has the child."""
     met = queries.withColumn("q_norm", norm("q")).join(groups.withColumn("g_norm", norm("key")), "store_id")
@@ -71,9 +85,9 @@ def boosts(queries: DataFrame, groups: DataFrame, name: str) -> DataFrame:
 def rerank(recalled: DataFrame, queries: DataFrame, l2: DataFrame, l3: DataFrame, c: Config) -> DataFrame:
     """Scores times (w1 + w2 * pattern + w3 * identity), ranked anew (Eq 23). l3's children are l2_ids of l2."""
     pattern = boosts(queries, l2, "pattern").withColumnRenamed("child", "mem_id")
-    through = boosts(queries, l3, "identity").withColumnRenamed("child", "l2_id")
+    through = boosts(queries, l3, "identity").withColumnRenamed("child", "l2_id").join(queries.select("query_id", "store_id"), "query_id")
     members = l2.select("store_id", "l2_id", F.explode("children").alias("mem_id"))
-    identity = through.join(members, "l2_id").groupBy("query_id", "mem_id").agg(F.max("identity").alias("identity"))
+    identity = through.join(members, ["store_id", "l2_id"]).groupBy("query_id", "mem_id").agg(F.max("identity").alias("identity"))
     met = recalled.join(pattern, ["query_id", "mem_id"], "left").join(identity, ["query_id", "mem_id"], "left")
     score = F.col("score") * (c.recall_w1 + c.recall_w2 * F.coalesce("pattern", F.lit(0.0)) + c.recall_w3 * F.coalesce("identity", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "mem_id")

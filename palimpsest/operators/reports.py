@@ -76,3 +76,11 @@ def memory_list(memories: DataFrame) -> DataFrame:
     placed = memories.withColumn("place", F.row_number().over(order))
     line = F.concat(F.rpad(F.col("place").cast("string"), 4, " "), F.lit(" "), F.lpad(F.format_string("%.4f", "strength"), 10, " "), F.lit(" "), F.lpad(F.col("access_count").cast("string"), 10, " "), F.lit(" "), F.rpad(F.substring("input_text", 1, 58), 60, " "))
     return placed.select("store_id", "place", line.alias("line"))
+
+
+def search_report(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """A text for each recalled row: activation, strength, number of edges, shortened texts. found: query_id, store_id, mem_id, rank, activation, strength, input_text, output_text."""
+    count = edges.groupBy("store_id", F.col("src").alias("mem_id")).agg(F.count("*").alias("edges"))
+    rows = found.join(count, ["store_id", "mem_id"], "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    text = F.concat(F.lit("  #"), F.col("rank").cast("string"), F.lit(" activation="), F.format_string("%.4f", "activation"), F.lit(" strength="), F.format_string("%.4f", "strength"), F.lit(" edges="), F.col("edges").cast("string"), F.lit("\n      Input:  "), F.substring("input_text", 1, 80), F.lit("\n      Output: "), F.substring("output_text", 1, 80))
+    return rows.select("query_id", "rank", text.alias("line"))

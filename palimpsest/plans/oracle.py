@@ -232,6 +232,16 @@ SELECT user_id, {_r("level")} AS level, {_r("(level - min(level) OVER ()) / (max
         + _edges()
         + _spread(start=",\nact AS (SELECT query_id, store_id, mem_id, score AS s0, 1.0 AS sim FROM scored)")
         + COLLECT,
+        "classic_graph_recall": MEM + CENTRES + CPAIRS + _edges() + _spread(start=",\nact AS (SELECT query_id, store_id, mem_id, strength * kk AS s0, 1.0 AS sim FROM pairs)") + COLLECT,
+        "search_report": MEM
+        + CENTRES
+        + CPAIRS
+        + _edges()
+        + _spread()
+        + """,
+counts AS (SELECT store_id, src, count(*) AS n FROM edges GROUP BY ALL),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, mem_id) AS rank FROM spread WHERE activation >= 0.01)
+SELECT f.query_id, f.rank, '  #' || f.rank || ' activation=' || printf('%.4f', f.activation) || ' strength=' || printf('%.4f', m.strength) || ' edges=' || coalesce(c.n, 0) || chr(10) || '      Input:  said ' || f.mem_id || chr(10) || '      Output: replied ' || m.ts AS line FROM found f JOIN mem m USING (store_id, mem_id) LEFT JOIN counts c ON c.store_id = f.store_id AND c.src = f.mem_id""",
         "feedback_delta": MEM + CENTRES + CPAIRS + FEEDBACK + f"\nSELECT store_id, mem_id, rank, {_r('a')} AS alignment, CASE WHEN a > 0.2 THEN 'strengthened' WHEN a < 0.0 THEN 'weakened' ELSE 'neutral' END AS effect, {_r('CASE WHEN a > 0.2 THEN strength + 0.05 * a WHEN a < 0.0 THEN strength * greatest(0.01, 1.0 - 0.05 * (0.0 - a)) ELSE strength END')} AS strength FROM aligned",
         "feedback_edges": MEM
         + CENTRES
@@ -330,6 +340,9 @@ SELECT query_id, rank, mem_id, origin, {_r("score")} AS score FROM (SELECT *, ro
         "budget_sweep": MEM + PAIRS + _heads() + _ranked(30, where="true") + GOLD + f",\nfirsts AS (SELECT g.query_id, (SELECT min(r.rank) FROM ranked r WHERE r.query_id = g.query_id AND r.mem_id = g.mem_id) AS first FROM gold g)\nSELECT k::INT AS k, count(*) AS n, {_r('avg(coalesce((first <= k)::INT, 0))')} AS gold_share FROM firsts, (VALUES (1), (2), (3), (5), (8), (12), (20), (30)) b(k) GROUP BY k",
         "mcnemar_exact": f"SELECT n01, n10, {_r(TAIL)} AS p FROM (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS n01, count(*) FILTER (quality = 1 AND toxic = 0) AS n10 FROM labels)",
         "mcnemar_recall": MEM + PAIRS + _heads() + HITS + ",\ndense AS (SELECT *, kk AS score FROM pairs)" + _ranked(12, source="dense", name="drank", where="true") + f",\nboth_ AS (SELECT h.query_id, h.hit, (EXISTS (SELECT 1 FROM drank r JOIN gold g ON g.query_id = r.query_id AND g.mem_id = r.mem_id WHERE r.query_id = h.query_id))::INT AS dense FROM hits h)\nSELECT n01, n10, {_r(TAIL)} AS p FROM (SELECT count(*) FILTER (dense = 0 AND hit = 1) AS n01, count(*) FILTER (dense = 1 AND hit = 0) AS n10 FROM both_)",
+        "evidence_ids": TURNS + "\nSELECT a.store_id, a.turn AS asked, 'D' || max(b.turn) AS dia_id FROM turns a JOIN turns b ON a.store_id = b.store_id AND a.text = b.text GROUP BY a.store_id, a.turn",
+        "capped_questions": TURNS + "\nSELECT store_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY turn) AS place FROM turns WHERE role = 'user') WHERE place <= 2",
+        "matched_results": MEM + PAIRS + _heads() + HITS + ",\ndense AS (SELECT *, kk AS score FROM pairs)" + _ranked(12, source="dense", name="drank", where="true") + ",\nside AS (SELECT h.category, h.hit AS b, (EXISTS (SELECT 1 FROM drank r JOIN gold g ON g.query_id = r.query_id AND g.mem_id = r.mem_id WHERE r.query_id = h.query_id))::INT AS a FROM hits h)\nSELECT count(*) AS n, count(*) FILTER (category = 4) AS unmatched, count(*) FILTER (category <> 4 AND a = b) AS same FROM side",
         "token_f1": TURNS + _f1("talk", "store_id, turn", "output_text", "input_text", "f") + f"\nSELECT store_id, turn, {_r('f1')} AS f1 FROM f",
         "score_answers": TURNS
         + ",\nqa AS (SELECT store_id * 100 + turn AS q_id, output_text AS prediction, input_text AS answer, (turn % 5 + 1)::INT AS category, CASE WHEN turn % 5 + 1 = 3 THEN trim(string_split(input_text, ';')[1]) ELSE input_text END AS a FROM talk)"

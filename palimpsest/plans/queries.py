@@ -173,6 +173,21 @@ def graph_recall(spark, d):
     return spread.collect(spread.spread(scored, edges.build_edges(mem, C), C), C).select("query_id", "rank", "mem_id", r6("activation", "activation"))
 
 
+def classic_graph_recall(spark, d):
+    """Spreading from strength times similarity, which may be negative."""
+    mem = t.memories(spark, d)
+    start = recall.meet(t.centres(mem), mem).select("query_id", "store_id", "mem_id", (F.col("strength") * cosine("q", "key", "q_norm", "key_norm")).alias("a0"), F.lit(1.0).alias("sim"))
+    return spread.collect(spread.spread(start, edges.build_edges(mem, C), C), C).select("query_id", "rank", "mem_id", r6("activation", "activation"))
+
+
+def search_report(spark, d):
+    mem = t.memories(spark, d)
+    net = edges.build_edges(mem, C)
+    found = spread.collect(spread.spread(_activation(mem), net, C), C)
+    texts = mem.select("store_id", "mem_id", "strength", F.concat(F.lit("said "), F.col("mem_id").cast("string")).alias("input_text"), F.concat(F.lit("replied "), F.col("ts").cast("string")).alias("output_text"))
+    return reports.search_report(found.join(texts, ["store_id", "mem_id"]), net)
+
+
 def feedback_delta(spark, d):
     """Feedback on what each store's centre recalls, the context taken as the response."""
     mem = t.memories(spark, d)
@@ -386,6 +401,13 @@ def greedy_clusters(spark, d):
     return hierarchy.greedy_clusters(t.memories(spark, d), replace(C, theta_cluster=0.15, min_cluster_size=2))
 
 
+def consolidate(spark, d):
+    """Patterns and identities that form by themselves, with their members' number."""
+    l2, l3 = hierarchy.consolidate(t.memories(spark, d), replace(C, theta_cluster=0.15, min_cluster_size=2, theta_identity=0.05), t.DIM)
+    shown = lambda df, name, level: df.select("store_id", F.lit(level).alias("level"), F.col(name).alias("group_id"), F.size("children").alias("n"), r6("strength", "strength"))
+    return shown(l2, "l2_id", 2).unionByName(shown(l3, "l3_id", 3))
+
+
 def shared_merge(spark, d):
     mem = t.memories(spark, d)
     own = recall.dense_topk(t.centres(mem), mem, C.top_k)
@@ -454,6 +476,26 @@ def stratified_sample(spark, d):
     return evaluation.stratified_sample(rows, "lang", F.md5(F.concat(F.col("mem_id").cast("string"), F.lit(":0"))), SAMPLE).select("lang", "mem_id")
 
 
+def evidence_ids(spark, d):
+    """Turns found again by their text; copies find the last one."""
+    rows = t.turns(spark, d)
+    known = rows.withColumn("dia_id", F.concat(F.lit("D"), F.col("turn").cast("string")))
+    return evaluation.evidence_ids(rows.select("store_id", F.col("turn").alias("asked"), "text"), known).select("store_id", "asked", "dia_id")
+
+
+def capped_questions(spark, d):
+    rows = t.turns(spark, d).filter("role = 'user'")
+    return evaluation.capped(rows, 2, "store_id", "turn").select("store_id", "turn")
+
+
+def matched_results(spark, d):
+    """Dense and multi-head hits side by side, the second run lacking one category."""
+    mem = t.memories(spark, d)
+    dense = evaluation.hits(recall.dense_topk(t.as_queries(mem), mem, 12), _gold(mem), _asked(mem))
+    both = evaluation.matched(dense, _hits(spark, d).filter("category <> 4"), ["query_id"], "hit")
+    return both.agg(F.count("*").alias("n"), F.sum(F.col("b").isNull().cast("long")).alias("unmatched"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("same"))
+
+
 # Reports
 
 

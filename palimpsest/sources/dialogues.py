@@ -31,3 +31,8 @@ def select_samples(samples: DataFrame, wanted: list[str]) -> DataFrame:
 def embedding_cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct texts whose hash the cache (hash, vector) lacks."""
     return texts.select("text").distinct().withColumn("hash", F.sha1("text")).join(cache, "hash", "left_anti")
+
+
+def write_results(results: DataFrame, path: str, by: str = "sample_id") -> None:
+    """Results as JSON, a folder for each sample; those of samples that are written again are replaced, others stay."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
