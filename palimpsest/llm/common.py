@@ -15,12 +15,17 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 ARROW_ROWS = 1000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder's URI under spark.checkpoint.dir, which driver and executors share; a temporary one of the session only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="checkpoint-")
+        base = _OWN[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
