@@ -28,9 +28,11 @@ def build_edges(memories: DataFrame, c: Config) -> DataFrame:
     alike = c.alpha_k * cosine("a_key", "b_key", "a_key_norm", "b_key_norm") + c.alpha_v * cosine("a_value", "b_value", "a_value_norm", "b_value_norm")
     if c.displacement_edges_enabled:
         alike = (alike + c.alpha_d * cosine("a_shift", "b_shift", "a_shift_norm", "b_shift_norm")) / (c.alpha_k + c.alpha_v + c.alpha_d)
-    scored = near.select("store_id", F.col("a_mem_id").alias("src"), F.col("b_mem_id").alias("dst"), (alike * F.exp(-lag.cast("double") / c.tau_temporal)).alias("weight"))
-    kept = scored.filter(F.col("weight") >= c.theta_edge)
-    return kept.unionByName(kept.select("store_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    weight = alike * F.exp(-lag.cast("double") / c.tau_temporal)
+    # Both directions from one weight, which as an array's element is neither computed twice nor pushed into the join.
+    edge = lambda src, dst, w: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("weight"))
+    both = F.flatten(F.transform(F.array(weight), lambda w: F.array(edge("a_mem_id", "b_mem_id", w), edge("b_mem_id", "a_mem_id", w))))
+    return near.select("store_id", F.inline(F.filter(both, lambda e: e["weight"] >= c.theta_edge)))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
