@@ -276,7 +276,7 @@ SELECT mem_id, {_r("best")} AS best, {_r("r_out")} AS r_out, {_r("r_val")} AS r_
         + INCOMING
         + f""",
 s AS (SELECT mem_id, max(kk) AS best, count(*)::DOUBLE AS n, count(*) FILTER (kk > 0.15)::DOUBLE AS near FROM met GROUP BY mem_id),
-p AS (SELECT *, 5.0 + 15.0 * least(n / 100.0, 1.0) AS sharpness, 0.55 + 0.3 * near / n AS threshold, 1.0 + 3.0 * exp(-n / 10.0) AS cold FROM s)
+p AS (SELECT *, 5.0 + 15.0 * least(n / 100.0, 1.0) AS sharpness, 0.25 + 0.3 * near / n AS threshold, 1.0 + 3.0 * exp(-n / 10.0) AS cold FROM s)
 SELECT mem_id, {_r("sharpness")} AS sharpness, {_r("threshold")} AS threshold, {_r("cold")} AS cold, {_r("1.0 / (1.0 + exp(-sharpness * (best - threshold)))")} AS p_strengthen, 1.0 / (1.0 + exp(-sharpness * (best - threshold))) >= 0.5 AS strengthen FROM p""",
         "cold_start_curve": MEM + f"\nSELECT store_id, mem_id, {_r('1.0 + 3.0 * exp(-(ts - 1) / 10.0)')} AS factor FROM mem",
         "prospect_delta": f"SELECT event_id, {_r('CASE WHEN value > 50 THEN pow(value - 50.0, 0.88) WHEN value < 50 THEN -2.25 * pow(abs(value - 50.0), 0.88) ELSE 0.0 END')} AS felt FROM events",

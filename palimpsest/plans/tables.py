@@ -12,7 +12,7 @@ from ..operators.ingest import window_pairs, with_norms
 
 DIM = 64
 #: Thresholds that these tables' similarities reach on both sides; random vectors are never as alike as sentences of one talk.
-CONFIG = Config(embedding_dim=DIM, theta_edge=0.02, theta_cluster=0.2, theta_identity=0.1, theta_create=0.25, theta_key=0.25, theta_value=0.0, theta_tension_key=0.2, theta_tension_val=0.0, theta_align=0.2, theta_misalign=0.0, theta_density_neighbor=0.15, theta_ctx_gate=0.05, theta_out_filter=0.99)
+CONFIG = Config(embedding_dim=DIM, theta_edge=0.02, theta_cluster=0.2, theta_identity=0.1, theta_create=0.25, theta_key=0.25, theta_value=0.0, theta_tension_key=0.2, theta_tension_val=0.0, theta_align=0.2, theta_misalign=0.0, theta_density_neighbor=0.15, theta_soft_base=0.25, theta_ctx_gate=0.05, theta_out_filter=0.99)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
