@@ -11,7 +11,8 @@ too, and linear.
 
 ``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness of about 0.8 of their sets of
 five-word shingles: bands of 32 bits (of word pairs, which one edit changes less) meet as above, and a signature of
-512 bits of the shingles decides.
+512 bits of the shingles decides. A band is short, so its segments have one bit: the grid is as fine as it can be, the bound is the
+distance itself, and texts that are not alike hardly ever meet.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows share a
 class. A null doc_id is in a class but never names one. An empty table gives no rows. Columns other than id and text
@@ -39,6 +40,8 @@ SEED = 42
 SHINGLE, SIGNATURE, BANDS, LIKENESS = 5, 8, 8, 0.8
 #: Standard errors of the signature by which a pair may miss LIKENESS.
 ALLOWED = 0.75
+#: Texts in one cell up to which all pairs are tried; in a larger one each meets the least with its band, and these the cell's least.
+PAIRED = 8
 _BLOCK = 1 << 15
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -94,6 +97,11 @@ def cells(counts: Column, segments: int) -> Column:
     return F.concat(F.array(counts), up, down)
 
 
+def flips(fp: Column, bits: int) -> Column:
+    """Array of a word and all that differ from it in one bit: the cells of one-bit segments."""
+    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: fp.bitwiseXOR(_shifted(F.lit(1).cast("long"), i))))
+
+
 def segment_counts(fp: Column) -> Column:
     """Bit counts of the two-bit segments, each in its segment's place."""
     even = F.lit(0x5555555555555555)
@@ -139,8 +147,7 @@ def links(nodes: DataFrame) -> DataFrame:
     few = met.filter(F.col("crowd") <= CROWD).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps")
     near = few.mapInArrow(verify, "a long, b long")
     crowded = met.filter(F.col("crowd") > CROWD).select("fp").distinct()
-    flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(_shifted(F.lit(1).cast("long"), i))))
-    around = crowded.select("fp", F.explode(flips).alias("hub"))
+    around = crowded.select("fp", F.explode(flips(F.col("fp"), 64)).alias("hub"))
     least = around.groupBy("hub").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
     hubs = around.join(least, "hub").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return near.unionByName(hubs).filter("a <> b").distinct()
@@ -217,14 +224,13 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "
     rest = [F.first(c).alias(c) for c in own.columns if c not in ("doc_id", "t0", "t1")]
     texts = common.materialize(own.groupBy("t0", "t1").agg(F.min("doc_id").alias("id"), *rest))
     whole = F.array(*[F.struct(F.lit(k).cast("long").alias("band"), F.call_function("shiftrightunsigned", f"b{k // 2}", F.lit(32 * (k % 2))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("fp")) for k in range(BANDS)])
-    bands = texts.select("id", F.inline(whole)).withColumn("counts", segment_counts(F.col("fp")))
-    dealt = bands.select("id", "fp", F.explode(F.transform(cells(F.col("counts"), 16), lambda c: _shifted(F.col("band"), F.lit(32)).bitwiseOR(c))).alias("cell"))
+    bands = texts.select("id", F.inline(whole))
+    dealt = bands.select("id", "fp", F.explode(F.transform(flips(F.col("fp"), 32), lambda c: _shifted(F.col("band"), F.lit(32)).bitwiseOR(c))).alias("cell"))
     met = common.materialize(_met(dealt))
-    crowd = 48
-    few = met.filter(F.col("crowd") <= crowd).groupBy("cell").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")).select("fps", "ids")
+    few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")).select("fps", "ids")
     tried = few.mapInArrow(pairs, "a long, b long")
     # In a crowd, a text meets the least one with its band, and those meet the cell's least.
-    many = met.filter(F.col("crowd") > crowd)
+    many = met.filter(F.col("crowd") > PAIRED)
     with_band = common.materialize(many.groupBy("cell", "fp").agg(F.min("id").alias("least")))
     in_cell = with_band.groupBy("cell").agg(F.min("least").alias("first"))
     same_band = many.select("cell", "fp", "id").join(with_band, ["cell", "fp"]).select(F.col("least").alias("a"), F.col("id").alias("b"))
