@@ -7,7 +7,7 @@ dealt to fewer tasks, each of which again packs its items by best fit, up to one
 that grows, even if nothing fits anything.
 
 A text's ids are those of its stretches between ASCII blanks: the tokenizer's own pattern never spans white space, so
-each distinct stretch is encoded once per worker by the library. Null and empty texts are one end id. Repeated rows
+each distinct stretch is encoded once per worker by the library (letters and the punctuation behind them apart). Null and empty texts are one end id. Repeated rows
 (also with one id) are pieces of their own. An empty table gives no rows. Columns other than id and text are left out.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,38 +32,61 @@ SLACK = 1
 LOCAL_ITEMS, TASK_ITEMS = 50_000, 20_000
 #: A round that leaves over this share of its bins underfull is the last.
 STALLED = 0.98
-#: Distinct stretches that a worker keeps; longer stretches than LONG are not kept.
-CACHE_WORDS, LONG = 400_000, 64
+#: Distinct stretches, and distinct parts of them, that a worker keeps, and the stretches' bytes on average at most.
+CACHE_WORDS, CACHE_PARTS, LONG = 800_000, 400_000, 32
+#: ASCII punctuation but for the apostrophe, which may begin a token of its own with the letters behind it.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 BINS = "sequence_id long, fill int, done boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+def parts(stretch: str) -> tuple[str, ...]:
+    """The stretch as texts that are encoded apart: plain Latin letters, in lower case, and the punctuation behind them.
+
+    The tokenizer lowers case and separates runs of letters from runs of punctuation itself. Anything less plain (apostrophes,
+    digits, marks, letters of other blocks or whose lower case isn't one letter) stays whole.
+    """
+    core = stretch.rstrip(_TAIL)
+    if core and core.isalpha() and max(core) < "\u0180" and (low := core.lower()).isalpha():
+        return (low, stretch[len(core) :]) if len(core) < len(stretch) else (low,)
+    return (stretch,)
+
+
 class WordIds:
-    """Little-endian uint32 ids of texts, stretch by stretch."""
+    """Little-endian uint32 ids of texts, stretch by stretch, and those part by part."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.stretches: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.held = 0  # bytes of stretches
+
+    def _learn(self, needed: set[bytes]) -> None:
+        missing = needed - self.stretches.keys()
+        if len(self.stretches) + len(missing) > CACHE_WORDS or self.held > LONG * CACHE_WORDS:
+            self.stretches.clear()
+            missing = needed
+        cut = {w: parts(w.decode(errors="replace")) for w in missing}
+        texts = {x for c in cut.values() for x in c}
+        if len(self.parts) + len(texts) > CACHE_PARTS or self.held > LONG * CACHE_WORDS:
+            self.parts.clear()
+            self.held = 0
+        new = list(texts - self.parts.keys())
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for x, found in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[x] = array("I", found.ids).tobytes()
+        self.stretches.update((w, b"".join([self.parts[x] for x in c])) for w, c in cut.items())
+        self.held += sum(map(len, missing))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [t.split() for t in texts]
-        needed = set().union(*cut)
-        missing = list(needed - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(needed)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = self.lib.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(part, found, strict=True))
-        out = [b"".join([self.cache[w] for w in words]) for words in cut]
-        for w in missing:
-            if len(w) > LONG:
-                del self.cache[w]
+        self._learn(set().union(*cut))
+        out = [b"".join([self.stretches[w] for w in words]) for words in cut]
         return out
 
 
