@@ -10,9 +10,8 @@ bits share a word within one bit of each, and each links to the least fingerprin
 too, and linear.
 
 ``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness of about 0.8 of their sets of
-five-word shingles: bands of 32 bits (of word pairs, which one edit changes less) meet as above, and a signature of
-512 bits of the shingles decides. A band is short, so its segments have one bit: the grid is as fine as it can be, the bound is the
-distance itself, and texts that are not alike hardly ever meet.
+five-word shingles: those that share a band of least shingle hashes meet, wherever the edits are, and a signature of
+512 bits of the shingles decides.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows share a
 class. A null doc_id is in a class but never names one. An empty table gives no rows. Columns other than id and text
@@ -36,11 +35,13 @@ from .components import components
 #: Fingerprints in one cell up to which they are compared with each other.
 CROWD = 512
 SEED = 42
-#: Of near_duplicates: words of a shingle, 64-bit words of a signature, bands, and likeness.
-SHINGLE, SIGNATURE, BANDS, LIKENESS = 5, 8, 8, 0.8
+#: Of near_duplicates: words of a shingle, 64-bit words of a signature, and likeness.
+SHINGLE, SIGNATURE, LIKENESS = 5, 8, 0.8
+#: Least shingle hashes that make a band, and bands: of pairs at 0.8, all but 1 in 300,000 share one (1 - (1 - 0.8 ** 4) ** 24).
+LEAST, BANDS = 4, 24
 #: Standard errors of the signature by which a pair may miss LIKENESS.
 ALLOWED = 0.75
-#: Texts in one cell up to which all pairs are tried; in a larger one each meets the least with its band, and these the cell's least.
+#: Texts in one cell up to which all pairs are tried; in a larger one each meets the cell's least.
 PAIRED = 8
 _BLOCK = 1 << 15
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -184,26 +185,36 @@ def bits_apart(likeness: float, bits: int, allowed: float) -> int:
     return math.floor(bits * share + allowed * math.sqrt(bits * share * (1 - share)))
 
 
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS words, each of the least of the set under LEAST orders: sets share one with probability likeness ** LEAST."""
+    orders = _mixed(np.arange(1, 2, dtype=np.uint64), LEAST * BANDS)[0] | np.uint64(1)
+    least = np.full(LEAST * BANDS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), _BLOCK):
+        least = np.minimum(least, (orders[:, None] * hashes[None, at : at + _BLOCK]).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, LEAST).T:
+        out = _mixed(out ^ part, 1)[:, 0]
+    return out
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, t0, t1 (128-bit hash of the text), s0.. (signature words), band words."""
-    halves = BANDS // 2
-    names = ["t0", "t1", *(f"s{k}" for k in range(SIGNATURE)), *(f"b{k}" for k in range(halves))]
+    """doc_id, node (64-bit hash of the text), n (shingles), s0.. (signature words), bands."""
+    names = ["n", *(f"s{k}" for k in range(SIGNATURE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = _split(text)
-                own = majority(_mixed(np.unique(shingle_hashes(words, SHINGLE)), SIGNATURE))
-                pairs = majority(_mixed(np.unique(shingle_hashes(words, 2)), halves))
-                rows.append(np.concatenate([np.frombuffer(xxh3_128_digest(text), dtype=np.uint64), own, pairs]))
+            rows, bands = [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                own = np.unique(shingle_hashes(_split(text), SHINGLE))
+                rows.append(np.concatenate([np.array([len(own)], dtype=np.uint64), majority(_mixed(own, SIGNATURE))]))
+                bands.append(least_hashes(own).view(np.int64))
             table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names)))], names=["doc_id", *names])
+            columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", *names, "bands"])
 
     common.arrow_rows(docs)
-    return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    given = common.texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("node"), "text")
+    return given.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,37 +223,30 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row, of in zip(batch.column(0), batch.column(1), strict=True):
-                x, ids = np.asarray(row.values).astype(np.uint64), np.asarray(of.values)
-                i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2, 1))
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
+            for row in batch.column(0):
+                x = np.sort(np.asarray(row.values))
+                i, j = np.triu_indices(len(x), 1)
+                a.append(x[i])
+                b.append(x[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
 
     own = common.materialize(signatures(docs, id_col, text_col).filter("doc_id is not null"))
-    # Of copies, and of repeated ids, one row stands for all.
-    rest = [F.first(c).alias(c) for c in own.columns if c not in ("doc_id", "t0", "t1")]
-    texts = common.materialize(own.groupBy("t0", "t1").agg(F.min("doc_id").alias("id"), *rest))
-    whole = F.array(*[F.struct(F.lit(k).cast("long").alias("band"), F.call_function("shiftrightunsigned", f"b{k // 2}", F.lit(32 * (k % 2))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("fp")) for k in range(BANDS)])
-    bands = texts.select("id", F.inline(whole))
-    dealt = bands.select("id", "fp", F.explode(F.transform(flips(F.col("fp"), 32), lambda c: _shifted(F.col("band"), F.lit(32)).bitwiseOR(c))).alias("cell"))
-    met = common.materialize(_met(dealt))
-    few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("fp").alias("fps"), F.collect_list("id").alias("ids")).select("fps", "ids")
+    # Of copies, one row stands for all.
+    rest = [F.first(c).alias(c) for c in own.columns if c not in ("doc_id", "node")]
+    texts = common.materialize(own.groupBy("node").agg(F.min("doc_id").alias("id"), *rest))
+    met = common.materialize(_met(texts.select("node", F.explode("bands").alias("cell"))))
+    few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("node").alias("nodes")).select("nodes")
     tried = few.mapInArrow(pairs, "a long, b long")
-    # In a crowd, a text meets the least one with its band, and those meet the cell's least.
+    # In a crowd, a text meets the cell's least.
     many = met.filter(F.col("crowd") > PAIRED)
-    with_band = common.materialize(many.groupBy("cell", "fp").agg(F.min("id").alias("least")))
-    in_cell = with_band.groupBy("cell").agg(F.min("least").alias("first"))
-    same_band = many.select("cell", "fp", "id").join(with_band, ["cell", "fp"]).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    to_first = with_band.join(in_cell, "cell").select(F.col("first").alias("a"), F.col("least").alias("b"))
-    met_pairs = common.materialize(tried.unionByName(same_band).unionByName(to_first).filter("a <> b").distinct())
-    side = lambda c: texts.groupBy(F.col("id").alias(c)).agg(*[F.first(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
-    half = common.materialize(met_pairs.join(common.materialize(side("a")), "a"))
-    both = half.join(common.materialize(side("b")), "b")
+    to_first = many.join(many.groupBy("cell").agg(F.min("node").alias("a")), "cell").select("a", F.col("node").alias("b"))
+    met_pairs = common.materialize(tried.unionByName(to_first).filter("a <> b").distinct())
+    side = lambda c: texts.select(F.col("node").alias(c), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
+    both = met_pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIGNATURE)), F.lit(0))
     edges = both.filter(apart <= bits_apart(likeness, 64 * SIGNATURE, ALLOWED)).select("a", "b")
-    found = components(edges).select(F.col("node").alias("id"), "label")
-    classes = common.materialize(texts.select("t0", "t1", "id").join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    found = components(edges)
+    classes = common.materialize(texts.select("node", "id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
     named = classes.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = common.materialize(classes.join(named, "label").select("t0", "t1", "class_id"))
-    return own.select("doc_id", "t0", "t1").join(named, ["t0", "t1"]).select("doc_id", "class_id")
+    named = common.materialize(classes.join(named, "label").select("node", "class_id"))
+    return own.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")

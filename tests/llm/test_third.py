@@ -91,6 +91,27 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def block_edits(rng, likeness, way, n=300):
+    """A text and a copy with another end, more at the end or a piece cut off, as alike as asked for or just above."""
+    base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    m = n - 4  # shingles
+    if way == "replaced":  # (m - k) / (m + k)
+        k = int(m * (1 - likeness) / (1 + likeness))
+        return base, base[: n - k] + [f"x{rng.randrange(10**9)}" for _ in range(k)]
+    k = int(m * (1 - likeness)) if way == "truncated" else int(m / likeness) - m
+    return base, base[: n - k] if way == "truncated" else base + [f"x{rng.randrange(10**9)}" for _ in range(k)]
+
+
+def test_bands_meet_after_block_edits():
+    rng = random.Random(6)
+    for likeness in (0.8, 0.82, 0.85, 0.9):
+        for way in ("replaced", "appended", "truncated"):
+            for _ in range(50):
+                a, b = (np.unique(simhash.shingle_hashes([w.encode() for w in x], simhash.SHINGLE)) for x in block_edits(rng, likeness, way))
+                assert likeness <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < likeness + 0.01
+                assert (simhash.least_hashes(a) == simhash.least_hashes(b)).any()
+
+
 def limit(v):
     return max(-(2**63), min(2**63 - 1, v))
 
