@@ -9,9 +9,9 @@ Where over ``CROWD`` fingerprints meet in a cell, pairs are not tried. There, fi
 bits share a word within one bit of each, and each links to the least fingerprint around that word. That is exact
 too, and linear.
 
-``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness of about 0.8 of their sets of
+``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness (Jaccard) of 0.8 or more of their sets of
 five-word shingles: those that share a band of least shingle hashes meet, wherever the edits are, and a signature of
-512 bits of the shingles decides.
+512 bits of the shingles tells which of them are worth a look, and the sets themselves decide.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows share a
 class. A null doc_id is in a class but never names one. An empty table gives no rows. Columns other than id and text
@@ -39,8 +39,8 @@ SEED = 42
 SHINGLE, SIGNATURE, LIKENESS = 5, 8, 0.8
 #: Least shingle hashes that make a band, and bands: of pairs at 0.8, all but 1 in 300,000 share one (1 - (1 - 0.8 ** 4) ** 24).
 LEAST, BANDS = 4, 24
-#: Standard errors of the signature by which a pair may miss LIKENESS.
-ALLOWED = 0.75
+#: Standard errors of the signature by which a pair may miss LIKENESS before its sets are compared; sets of under SMALL shingles always are.
+LOOSE, SMALL = 5.0, 64
 #: Texts in one cell up to which all pairs are tried; in a larger one each meets the cell's least.
 PAIRED = 8
 _BLOCK = 1 << 15
@@ -217,6 +217,34 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return given.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
 
 
+def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
+    """Whether two sets, sorted, are as alike as asked for (Jaccard); two empty ones are."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return union == 0 or both / union >= likeness
+
+
+def _set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(_split(text.encode()), SHINGLE))
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, likeness: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets of shingles are as alike as asked for. bodies: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = np.zeros(0, np.uint64), None  # rows of one b often follow each other
+        for batch in batches:
+            keep = []
+            for b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if b != at:
+                    known, at = _set(tb), b
+                keep.append(alike(_set(ta), known, likeness))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) of all rows whose doc_id is not null."""
 
@@ -241,10 +269,16 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "
     many = met.filter(F.col("crowd") > PAIRED)
     to_first = many.join(many.groupBy("cell").agg(F.min("node").alias("a")), "cell").select("a", F.col("node").alias("b"))
     met_pairs = common.materialize(tried.unionByName(to_first).filter("a <> b").distinct())
-    side = lambda c: texts.select(F.col("node").alias(c), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
     both = met_pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIGNATURE)), F.lit(0))
-    edges = both.filter(apart <= bits_apart(likeness, 64 * SIGNATURE, ALLOWED)).select("a", "b")
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    loose = (small >= likeness * large - 1e-6) & ((apart <= bits_apart(likeness, 64 * SIGNATURE, LOOSE)) | (small < SMALL))
+    asked = common.materialize(both.filter(loose).select("a", "b"))
+    needed = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
+    given = common.texts(docs, id_col, text_col).select(F.xxhash64("text").alias("node"), "text")
+    bodies = common.materialize(given.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    edges = verified(asked, bodies, likeness)
     found = components(edges)
     classes = common.materialize(texts.select("node", "id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
     named = classes.groupBy("label").agg(F.min("id").alias("class_id"))

@@ -112,6 +112,38 @@ def test_bands_meet_after_block_edits():
                 assert (simhash.least_hashes(a) == simhash.least_hashes(b)).any()
 
 
+def brute_classes(texts, likeness):
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    near = np.array([[len(a & b) / len(a | b) >= likeness for b in sets] for a in sets])
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label[None, :], len(sets)).min(axis=1)
+        if (least == label).all():
+            return {i: int(x) for i, x in enumerate(label)}
+        label = least
+
+
+def test_near_duplicates_decides_by_the_sets(spark):
+    """Pairs just above and just under 0.8 after scattered and block edits."""
+    rng = random.Random(7)
+    texts = []
+    for likeness in (0.7, 0.75, 0.78, 0.8, 0.85, 0.9):
+        for way in ("replaced", "appended", "truncated"):
+            for _ in range(8):
+                texts += [" ".join(x) for x in block_edits(rng, likeness, way)]
+        for n in (5, 8, 12, 30):
+            texts += [" ".join(x) for x in block_edits(rng, likeness, "appended", n)]
+    for _ in range(60):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        b = list(a)
+        for i in rng.sample(range(300), 7):
+            b[i] = "x"
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()} == brute_classes(texts, 0.8)
+
+
 def limit(v):
     return max(-(2**63), min(2**63 - 1, v))
 
