@@ -11,7 +11,9 @@ too, and linear.
 
 ``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness (Jaccard) of 0.8 or more of their sets of
 five-word shingles: those that share a band of least shingle hashes meet, wherever the edits are, and a signature of
-512 bits of the shingles tells which of them are worth a look, and the sets themselves decide.
+512 bits of the shingles tells which of them are worth a look, and the sets themselves decide. In a cell of over ``PAIRED``
+texts each is tried with the nearest by signature first; then the texts of its blocks that might link to another class are compared
+with each other, all pairs at once in the worker, so that no pair of a cell goes undecided.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows share a
 class. A null doc_id is in a class but never names one. An empty table gives no rows. Columns other than id and text
@@ -41,8 +43,8 @@ SHINGLE, SIGNATURE, LIKENESS = 5, 8, 0.8
 LEAST, BANDS = 4, 24
 #: Standard errors of the signature by which a pair may miss LIKENESS before its sets are compared; sets of under SMALL shingles always are.
 LOOSE, SMALL = 5.0, 64
-#: Texts in one cell up to which all pairs are tried; in a larger one each meets the cell's least.
-PAIRED = 8
+#: Texts in one cell up to which all pairs are rows, and about how many make a block of a larger one, whose blocks meet two by two.
+PAIRED, BLOCK = 8, 1024
 _BLOCK = 1 << 15
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -118,10 +120,14 @@ def _met(rows: DataFrame) -> DataFrame:
 
 def _classes(x: np.ndarray, most: int) -> np.ndarray:
     """For each word the place of the first one in its class, linked within ``most`` bits."""
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= most
-    label = np.arange(len(x))
+    return _linked(np.bitwise_count(x[:, None] ^ x[None, :]) <= most)
+
+
+def _linked(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric, reflexive relation the first one in its class."""
+    label = np.arange(len(near))
     while True:
-        least = np.where(near, label[None, :], len(x)).min(axis=1)
+        least = np.where(near, label[None, :], len(near)).min(axis=1)
         least = least[least]
         if (least == label).all():
             return label
@@ -245,6 +251,79 @@ def verified(pairs: DataFrame, bodies: DataFrame, likeness: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of crowded cells (cell, node, crowd, ...), dealt to all pairs (i, j) of blocks of their cell."""
+    of = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("node"), of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    return own.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _apart(t: pa.Table, likeness: float) -> np.ndarray:
+    """Bits apart of all rows (n, label, s0..), and far more where a pair is of one label or can't be alike."""
+    n, label = t["n"].to_numpy(), t["label"].to_numpy()
+    apart = np.zeros((len(n), len(n)), dtype=np.uint16)
+    for k in range(SIGNATURE):
+        x = t[f"s{k}"].to_numpy().view(np.uint64)
+        apart += np.bitwise_count(x[:, None] ^ x[None, :])
+    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    loose = (apart <= bits_apart(likeness, 64 * SIGNATURE, LOOSE)) | (small < SMALL)
+    return np.where(loose & (small >= likeness * large - 1e-6) & (label[:, None] != label[None, :]), apart, 2**16 - 1)
+
+
+def nearest(rows: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): each row of crowded cells (cell, node, crowd, n, label, s0..) and the nearest of another label in each block it meets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        apart, node = _apart(t, likeness), t["node"].to_numpy()
+        at = apart.argmin(axis=1)
+        some = apart[np.arange(len(at)), at] < 2**16 - 1
+        a, b = node[some], node[at[some]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return _blocks(rows).groupBy("cell", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def open_rows(rows: DataFrame, likeness: float) -> DataFrame:
+    """(cell, i, j, node): those of the rows, as above, that could be alike to one of another label."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return t.filter(pa.array((_apart(t, likeness) < 2**16 - 1).any(axis=1))).select(["cell", "i", "j", "node"])
+
+    return _blocks(rows).groupBy("cell", "i", "j").applyInArrow(run, "cell long, i int, j int, node long")
+
+
+def alike_matrix(sets: list[np.ndarray], likeness: float) -> np.ndarray:
+    """``alike`` of all pairs of sets, by products of incidence matrices."""
+    n = np.array([len(x) for x in sets])
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [first, first + 4096])
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[row[lo:hi], column[lo:hi] - first] = 1
+        both += has @ has.T
+    np.fill_diagonal(both, n)
+    union = n[:, None] + n[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0) >= likeness
+
+
+def verified_blocks(rows: DataFrame, bodies: DataFrame, likeness: float) -> DataFrame:
+    """Edges (a, b) that connect what pairs alike connect in each pair of blocks. rows: as of ``open_rows``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t["node"].to_numpy()
+        label = _linked(alike_matrix([_set(x) for x in t["text"].to_pylist()], likeness))
+        odd = label != np.arange(len(label))
+        return pa.table({"a": node[label[odd]], "b": node[odd]})
+
+    return rows.join(bodies, "node").groupBy("cell", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) of all rows whose doc_id is not null."""
 
@@ -265,21 +344,25 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "
     met = common.materialize(_met(texts.select("node", F.explode("bands").alias("cell"))))
     few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("node").alias("nodes")).select("nodes")
     tried = few.mapInArrow(pairs, "a long, b long")
-    # In a crowd, a text meets the cell's least.
-    many = met.filter(F.col("crowd") > PAIRED)
-    to_first = many.join(many.groupBy("cell").agg(F.min("node").alias("a")), "cell").select("a", F.col("node").alias("b"))
-    met_pairs = common.materialize(tried.unionByName(to_first).filter("a <> b").distinct())
+    # In a crowd, nearest ones first, which links most of a large group; what could still link is compared in blocks.
+    many = met.filter(F.col("crowd") > PAIRED).join(texts.drop("id", "bands"), "node")
+    near = nearest(many.withColumn("label", F.col("node")), likeness)
+    met_pairs = common.materialize(tried.unionByName(near).distinct())
     side = lambda c: texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
     both = met_pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIGNATURE)), F.lit(0))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     loose = (small >= likeness * large - 1e-6) & ((apart <= bits_apart(likeness, 64 * SIGNATURE, LOOSE)) | (small < SMALL))
     asked = common.materialize(both.filter(loose).select("a", "b"))
-    needed = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct()
     given = common.texts(docs, id_col, text_col).select(F.xxhash64("text").alias("node"), "text")
-    bodies = common.materialize(given.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    edges = verified(asked, bodies, likeness)
+    bodies = lambda nodes: common.materialize(given.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    edges = common.materialize(verified(asked, bodies(asked.select(F.explode(F.array("a", "b")).alias("node"))), likeness))
     found = components(edges)
+    labelled = many.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("cell")
+    left = common.materialize(open_rows(labelled.join(mixed, "cell", "left_semi"), likeness))
+    if not left.isEmpty():
+        found = components(edges.unionByName(verified_blocks(left, bodies(left.select("node")), likeness)))
     classes = common.materialize(texts.select("node", "id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
     named = classes.groupBy("label").agg(F.min("id").alias("class_id"))
     named = common.materialize(classes.join(named, "label").select("node", "class_id"))

@@ -144,6 +144,44 @@ def test_near_duplicates_decides_by_the_sets(spark):
     assert {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()} == brute_classes(texts, 0.8)
 
 
+def test_near_duplicates_in_crowds(spark, monkeypatch):
+    """Near copies that are alike to a base in mid-order only, and chains of copies, in one block and in several."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+
+    def changed(words, k, step=13):
+        out = list(words)
+        for i in rng.sample(range(5, len(words) - 5, step), k):
+            out[i] = word()
+        return out
+
+    base = [word() for _ in range(300)]
+    copies = [changed(base, 6) for _ in range(150)]
+    texts = copies[:75] + [base] + copies[75:]
+    for _ in range(3):  # a chain of texts, each alike to the next
+        text = [word() for _ in range(300)]
+        for _ in range(25):
+            text = changed(text, 5)
+            texts.append(text)
+    shared = [word() for _ in range(240)]  # boilerplate, not alike
+    texts += [shared + [word() for _ in range(50)] for _ in range(60)]
+    texts = [" ".join(x) for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(texts, 0.8)
+    assert all(want[i] == 0 for i in range(151))
+    for block in (simhash.BLOCK, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()}
+        assert got == want
+
+
+def test_blocks_decide_as_pairs_do():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, k).astype(np.uint64)) for k in rng.integers(0, 90, 80)] + [np.zeros(0, np.uint64)]
+    for likeness in (0.3, 0.5, 0.8):
+        assert (simhash.alike_matrix(sets, likeness) == [[simhash.alike(a, b, likeness) for b in sets] for a in sets]).all()
+
+
 def limit(v):
     return max(-(2**63), min(2**63 - 1, v))
 
