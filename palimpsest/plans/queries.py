@@ -352,7 +352,9 @@ def hybrid_topk(spark, d):
     scored = sparse.bm25(asked, docs, C)
     left = asked.select("query_id", normalized(hash_embed("text")).alias("q"))
     right = docs.select("mem_id", normalized(hash_embed("text")).alias("v"))
-    met = scored.join(right, "mem_id").join(F.broadcast(left) if asked.count() <= 10_000 else left, "query_id").select("query_id", "mem_id", "bm25", dot("q", "v").alias("dense"))
+    # Every document is a candidate of every query; without a common term bm25 is zero.
+    every = right.crossJoin(F.broadcast(left) if asked.count() <= 10_000 else left).select("query_id", "mem_id", dot("q", "v").alias("dense"))
+    met = every.join(scored, ["query_id", "mem_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     both = met.withColumns({"d": sparse.minmax(met, "dense"), "b": sparse.minmax(met, "bm25")})
     both = both.withColumn("score", F.round(F.col("d") + C.hybrid_weight * F.col("b"), 6))
     return recall.ranked(both, "score", C.top_k).select("query_id", "rank", "mem_id", "score")

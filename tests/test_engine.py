@@ -317,3 +317,25 @@ def test_snapshots(spark, tmp_path):
         warnings.simplefilter("always")
         tables, found = snapshots.load(spark, path)
     assert not found and caught and tables["edges"].count() == 0
+
+
+def test_hybrid_scores_all_documents(spark, sf_dir):
+    import numpy as np
+
+    from palimpsest.functions.text import hash_embed
+    from palimpsest.functions.vectors import normalized
+    from palimpsest.operators import sparse
+    from palimpsest.plans import queries, tables
+
+    docs, asked = tables.documents(spark, sf_dir), tables.benchmark(spark, sf_dir)
+    v, q = ({r[0]: np.array(r[1]) for r in df.select(i, normalized(hash_embed("text"))).collect()} for df, i in ((docs, "mem_id"), (asked, "query_id")))
+    ids, bm25 = sorted(v), {(r.query_id, r.mem_id): r.bm25 for r in sparse.bm25(asked, docs, queries.C).collect()}
+    scale = lambda x: (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else x * 0
+    got = {}
+    for r in queries.hybrid_topk(spark, sf_dir).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.score
+    assert set(got) == set(q)
+    for i, e in q.items():
+        score = scale(np.array([v[k] @ e for k in ids])) + queries.C.hybrid_weight * scale(np.array([bm25.get((i, k), 0.0) for k in ids]))
+        top = np.sort(score)[::-1][: queries.C.top_k]
+        assert np.allclose([got[i][k] for k in sorted(got[i])], top, atol=2e-6)
