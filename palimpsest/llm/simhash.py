@@ -326,6 +326,11 @@ def verified_blocks(rows: DataFrame, bodies: DataFrame, likeness: float) -> Data
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) of all rows whose doc_id is not null."""
+    return near_classes(docs, likeness, id_col, text_col).select("doc_id", "class_id")
+
+
+def near_classes(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node (xxhash64 of the text), class_id, first (a node of the class that has class_id) of all rows whose doc_id is not null."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +369,6 @@ def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "
     if not left.isEmpty():
         found = components(edges.unionByName(verified_blocks(left, bodies(left.select("node")), likeness)))
     classes = common.materialize(texts.select("node", "id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    named = classes.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = common.materialize(classes.join(named, "label").select("node", "class_id"))
-    return own.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
+    named = classes.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
+    named = common.materialize(classes.join(named, "label").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("first")))
+    return own.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "first")

@@ -67,3 +67,13 @@ def test_run_on_odd_rows(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 3, 3]  # a null and an empty text are copies of each other
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_an_id_with_two_texts(spark):
+    """Only the text that repeats another goes; of two near copies with one id, one stays."""
+    words = [f"w{k}" for k in range(300)]
+    near, other = " ".join(words[:-3]), " ".join(f"v{k}" for k in range(300))
+    rows = [(1, " ".join(words)), (2, near), (2, other), (3, "a b c d e f g h"), (4, " ".join(f"u{k}" for k in range(300))), (4, " ".join(f"u{k}" for k in range(298)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(left)[:3] == [rows[0], rows[2], rows[3]] and len(left) == 4 and left.count(rows[4]) + left.count(rows[5]) == 1
