@@ -142,7 +142,6 @@ def format_conversations(rows: DataFrame, ranks_path: str) -> DataFrame:
                     names=["conv_id", "ids", "loss_mask", "formatted"],
                 )
 
-    common.arrow_rows(rows)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return gathered.mapInArrow(run, FORMATTED)

@@ -4,27 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: Characters that separate words, as everywhere in this package: blank and 0x09 to 0x0D. ``bytes.split()`` splits on just these.
 SPACES = "[\\x20\\x09-\\x0D]+"
-#: Rows a Python worker is handed at once; texts can be long, so far fewer than Spark's 10000.
-ARROW_ROWS = 1000
+#: Rows and bytes of texts that a Python worker works on at once; Spark hands it up to 10000 rows and 64 MB.
+ROWS, BYTES = 1000, 8 << 20
 
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which driver and executors share; a temporary one of the session only where that is unset."""
+    """A new folder's URI under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a folder in the warehouse is taken, which is shared as well; on a single machine, a temporary one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
         if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="checkpoint-")
+            single = master == "local" or master.startswith("local[")
+            _OWN[app] = tempfile.mkdtemp(prefix="checkpoint-") if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{app}"
         base = _OWN[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -36,7 +44,22 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._palimpsest_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables whose readers are all written."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_palimpsest_path", None)):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of the shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -55,10 +78,19 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def arrow_rows(df: DataFrame, n: int = ARROW_ROWS) -> None:
-    """Bounds what Python workers hold of one batch."""
-    with suppress(Exception):  # a session that forbids changes keeps its own bound
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+def slices(batches: Iterator[pa.RecordBatch], most: int = BYTES, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and ``most`` bytes of text; a longer text is a part of its own."""
+    for batch in batches:
+        size = np.full(batch.num_rows, 64, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            room = most + (int(ends[start - 1]) if start else 0)
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, room, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,3 +109,8 @@ def words(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running(*order: str) -> WindowSpec:
+    """All rows up to this one; for tables of one row a partition or task at most."""
+    return Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

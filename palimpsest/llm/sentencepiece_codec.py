@@ -195,19 +195,10 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, end_id)
-        for batch in batches:
-            names, given = batch.column(0), batch.column(1).to_pylist()
-            start = 0
-            while start < len(given):
-                stop, size = start, 0
-                while stop < len(given) and (size < OUT_BYTES or stop == start):
-                    size += len(given[stop])
-                    stop += 1
-                rows = list(own.encode(given[start:stop]))
-                yield pa.RecordBatch.from_arrays([names.slice(start, stop - start), *(_lists([r[k] for r in rows]) for k in range(3)), pa.array([own.decode(r[0]) for r in rows], type=pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
-                start = stop
-
-    common.arrow_rows(docs)
+        for batch in common.slices(batches, OUT_BYTES):
+            rows = list(own.encode(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_lists([r[k] for r in rows]) for k in range(3)), pa.array([own.decode(r[0]) for r in rows], type=pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
+
     return common.texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 

@@ -77,11 +77,10 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     """doc_id, fp: 64-bit SimHash of the shingles of ``size`` words, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = [majority(shingle_hashes(_split(t), size)[:, None])[0] for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    common.arrow_rows(docs)
     return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -208,7 +207,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = ["n", *(f"s{k}" for k in range(SIGNATURE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             rows, bands = [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 own = np.unique(shingle_hashes(_split(text), SHINGLE))
@@ -218,7 +217,6 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", *names, "bands"])
 
-    common.arrow_rows(docs)
     given = common.texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("node"), "text")
     return given.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
 
@@ -239,7 +237,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, likeness: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at = np.zeros(0, np.uint64), None  # rows of one b often follow each other
-        for batch in batches:
+        for batch in common.slices(batches):
             keep = []
             for b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if b != at:

@@ -144,17 +144,15 @@ def write_chunks(docs: DataFrame, folder: str, id_col: str, text_col: str) -> Da
             return _batch([(chunk, table.num_rows, sum(len((t or b"").split()) for t in table.column(text_col).cast(pa.binary()).to_pylist()))], CHUNKS)
 
         held, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                held.append(batch.slice(at, 64))
-                size += sum(x.as_buffer().size if x.is_valid else 0 for x in held[-1].column(held[-1].schema.get_field_index(text_col)))
-                if size >= CHUNK_BYTES:
-                    yield write(held)
-                    held, size = [], 0
+        for batch in common.slices(batches, CHUNK_BYTES // 8):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield write(held)
+                held, size = [], 0
         if held:
             yield write(held)
 
-    common.arrow_rows(docs, 512)
     return common.materialize(docs.mapInArrow(run, CHUNKS))
 
 
@@ -250,7 +248,6 @@ def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: b
     dealt = lambda df: df.groupBy("bucket")
     gathered = lambda df: df.groupBy("chunk").agg(F.collect_list("packed").alias("packed"))  # noqa: E731  one for each bucket at most
     spread = lambda df: df.repartition(tasks, "chunk")
-    common.arrow_rows(docs, 8)
     hits = common.materialize(dealt(spread(paths).mapInArrow(probe, PACKED)).applyInArrow(anchors, PACKED))
     lost = common.materialize(dealt(spread(gathered(hits)).mapInArrow(extend, PACKED)).applyInArrow(firsts, PACKED))
     last = spread(paths.join(gathered(lost), "chunk", "left"))

@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score, offending: sentences of at least ``least``, with their spans in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, bad = [], []
             for text in batch.column(1).to_pylist():
                 spans, p = model.sentence_scores(text)
@@ -149,7 +149,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(bad, kind)], names=["doc_id", "score", "offending"])
 
-    common.arrow_rows(docs)
     return common.texts(docs, id_col, text_col).mapInArrow(run, SCORES)
 
 
@@ -157,11 +156,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """Rows of ``docs``, as they are, whose text scores under ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(model.sentence_scores(t or "")[1]) < threshold for t in texts], pa.bool_()))
 
-    common.arrow_rows(docs)
     return docs.mapInArrow(run, docs.schema)
 
 

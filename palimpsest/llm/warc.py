@@ -147,7 +147,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
         fs, root = common.file_system(folder)
         fs.create_dir(root, recursive=True)
         out, path, count = None, None, 0
-        for batch in batches:
+        for batch in common.slices(batches):
             for page_id, url, html, digest, refers in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if out is None:
                     path, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
@@ -163,7 +163,6 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]})
 
-    common.arrow_rows(pages)
     return common.materialize(plan_records(pages, least).mapInArrow(run, "path string, records long"))
 
 
