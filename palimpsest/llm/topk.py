@@ -2,15 +2,20 @@
 
 Vectors are lifted by one coordinate to one norm, which makes the largest inner product the least Euclidean distance. Distances to
 pivots are computed once for every row, and by the triangle inequality the largest difference of two rows' distances to
-a pivot bounds their own distance from below. A query takes a block's candidates in the order of that bound, in growing
-portions, until the next bound exceeds the distance of its k-th best: nothing behind it can enter. Where a
-portion shows that bounds exclude too little, the rest of the block is one matrix product.
+a pivot bounds their own distance from below.
+
+1. A bounded sample gives the pivots, and each query its k-th best score there: no later one need be under it.
+2. Candidates are dealt to blocks by their nearest pivot (a pivot with many rows has many blocks). A block knows the least and largest
+   distance of its rows to each pivot, so a query for which even those exclude its rows skips the whole block.
+3. In a block, a query takes candidates in the order of their bounds, in growing portions, until the next bound exceeds the
+   distance of its k-th best: nothing behind it can enter. Only rows that reach the k-th best of the sample leave the block.
 
 Queries are written to the shared folder in files of bounded size. A task holds one block of candidates and one
-file of queries at a time, so nothing is broadcast and no pair is shuffled; its best k of each query are merged.
+file of queries at a time, so nothing is broadcast and no pair is shuffled; a block's best k of each query are merged. How much is
+excluded depends on the vectors alone: where they have no structure, nearly nothing, and time grows with queries times rows.
 
-Components become floor(64 * x), as doubles and saturated at +-2^62; where products could exceed 2^53 the
-arithmetic is that of Python's integers, and a score beyond a long saturates. Vectors that are null or hold a null or a non-finite component take no part; shorter
+Components become floor(64 * x), as doubles and saturated at +-2^62; where products could exceed 2^53, scores are summed by
+Python's integers, and a score beyond a long saturates. Vectors that are null or hold a null or a non-finite component take no part; shorter
 vectors are padded with zeros. Candidates with the query's id are its own rows and left out. Several vectors of one
 query id: the least is the query; repeated rows of other ids are candidates each. An empty table gives no rows.
 Columns other than id and vector are left out.
@@ -19,6 +24,7 @@ Columns other than id and vector are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots, rows from which they are chosen, candidates of a block, queries of a file, queries at a time, and the first portion.
-PIVOTS, SAMPLE, BLOCK, FILE, AT_ONCE, FIRST = 16, 2048, 8192, 4096, 128, 128
-#: Share of a block's candidates left after the first portion above which the rest is one product.
-DENSE = 0.1
+#: Pivots, rows of the sample, candidates of a block on average, queries of a file, queries at a time, and the first portion.
+PIVOTS, SAMPLE, BLOCK, FILE, AT_ONCE, FIRST = 32, 2048, 8192, 4096, 128, 64
 EXACT = 2**53
+_MOST, _LEAST = 2**63 - 1, -(2**63)
+FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column) -> Column:
@@ -54,128 +60,151 @@ def choose_pivots(rows: np.ndarray, count: int) -> np.ndarray:
     return rows[chosen]
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, table: np.ndarray, ids: np.ndarray, bounds: np.ndarray, query_bounds: np.ndarray, radius2: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query number, candidate number, score) of each query's best k in the block, and how many products were evaluated.
+@dataclass
+class Space:
+    """What all tasks share: arithmetic, radius and pivots."""
+
+    dims: int
+    exact: bool  # whether sums of products are exact as doubles
+    radius2: float
+    pivots: np.ndarray | None = None
 
-    queries, table: integers as doubles, exact; ids ascending. bounds, query_bounds: distances to the pivots.
-    """
+    def matrix(self, column) -> np.ndarray:
+        rows = column.to_pylist()
+        out = np.zeros((len(rows), self.dims), dtype=np.float64 if self.exact else object)
+        for i, row in enumerate(rows):
+            out[i, : len(row)] = row[: self.dims]
+        return out
+
+    def lifted(self, rows: np.ndarray) -> np.ndarray:
+        x = rows.astype(np.float64)
+        return np.concatenate([x, np.sqrt(np.maximum(self.radius2 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
+
+    def apart(self, lifted: np.ndarray) -> np.ndarray:
+        """Distances to the pivots."""
+        return np.sqrt(np.maximum((lifted**2).sum(axis=1)[:, None] + (self.pivots**2).sum(axis=1)[None, :] - 2 * lifted @ self.pivots.T, 0)).astype(np.float32)
+
+    def query_apart(self, queries: np.ndarray) -> np.ndarray:
+        return self.apart(np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], axis=1))
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.exact:
+            return rows @ query
+        return np.array([max(_LEAST, min(_MOST, int(x))) for x in rows @ query], dtype=np.int64).astype(object)
+
+    def reach(self, norm2: float, score) -> float:
+        """Distance, and a little more for rounding, within which every row lies that scores at least as much."""
+        if score is None or score <= _LEAST:
+            return np.inf
+        return float(np.sqrt(max(norm2 + self.radius2 - 2 * float(score), 0.0)) + 1e-4 * np.sqrt(self.radius2) + 1e-3)
+
+
+def best_of_block(space: Space, queries: np.ndarray, query_ids: np.ndarray, least: list, table: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(query number, id, score) of each query's best k in the block that score at least ``least`` (None: any), and how many products were evaluated."""
+    bounds, near = space.apart(space.lifted(table)), space.query_apart(queries)
+    low_edge, high_edge = bounds.min(axis=0), bounds.max(axis=0)
+    norms = [float(x) for x in (queries.astype(np.float64) ** 2).sum(axis=1)]
+    limits = np.array([space.reach(n, s) for n, s in zip(norms, least, strict=True)])
+    whole = np.maximum(low_edge[None, :] - near, near - high_edge[None, :]).max(axis=1)
+    asking = np.flatnonzero(whole <= limits)
     out, done = [], 0
-    for at in range(0, len(queries), AT_ONCE):
-        q, own = queries[at : at + AT_ONCE], query_ids[at : at + AT_ONCE]
-        low = np.zeros((len(q), len(table)), dtype=np.float32)
+    for at in range(0, len(asking), AT_ONCE):
+        part = asking[at : at + AT_ONCE]
+        low = np.zeros((len(part), len(table)), dtype=np.float32)
         for p in range(bounds.shape[1]):
-            np.maximum(low, np.abs(query_bounds[at : at + AT_ONCE, p, None] - bounds[None, :, p]), out=low)
-        low[own[:, None] == ids[None, :]] = np.inf
-        slack = 1e-4 * float(np.sqrt(radius2)) + 1e-3
-        reach = (q**2).sum(axis=1) + radius2
-        portion = min(FIRST, len(table))
-        first = np.argpartition(low, portion - 1, axis=1)[:, :portion]
-        scores = np.einsum("qd,qcd->qc", q, table[first])
-        scores[np.take_along_axis(low, first, 1) == np.inf] = -np.inf
-        done += scores.size
-        kth = np.sort(scores, axis=1)[:, -k] if portion >= k else np.full(len(q), -np.inf)
-        limit = np.where(np.isfinite(kth), np.sqrt(np.maximum(reach - 2 * np.where(np.isfinite(kth), kth, 0), 0)), np.inf) + slack
-        left = (low <= limit[:, None]) & (low < np.inf)
-        dense = left.mean(axis=1) > DENSE
-        full = np.full((len(q), len(table)), -np.inf) if dense.any() else None
-        if full is not None:
-            full[dense] = q[dense] @ table.T
-            full[low == np.inf] = -np.inf
-            done += int(dense.sum()) * len(table)
-        for i in range(len(q)):
-            if dense[i]:
-                s, c = full[i], None
-            else:
-                c = np.flatnonzero(left[i])
-                c = c[np.argsort(low[i, c], kind="stable")]
-                s, step, n = np.zeros(0), portion, 0
-                while n < len(c):  # in the order of the bound, until the next one exceeds the k-th best's distance
-                    if len(s) >= k and low[i, c[n]] > np.sqrt(max(reach[i] - 2 * np.partition(s, -k)[-k], 0)) + slack:
-                        break
-                    s = np.concatenate([s, table[c[n : n + step]] @ q[i]])
-                    n, step = n + step, 2 * step
-                c = c[: len(s)]
-                done += len(s)
-            n_ok = int((s > -np.inf).sum())
-            if not n_ok:
+            np.maximum(low, np.abs(near[part, p, None] - bounds[None, :, p]), out=low)
+        for j, i in enumerate(part.tolist()):
+            c = np.flatnonzero((low[j] <= limits[i]) & (ids != query_ids[i]))
+            c = c[np.argsort(low[j, c], kind="stable")]
+            scores, n, step = None, 0, FIRST
+            while n < len(c):  # in the order of the bound, until the next one exceeds the k-th best's distance
+                if scores is not None and len(scores) >= k and low[j, c[n]] > space.reach(norms[i], np.sort(scores)[-k]):
+                    break
+                more = space.scores(table[c[n : n + step]], queries[i])
+                scores = more if scores is None else np.concatenate([scores, more])
+                n, step = n + step, 2 * step
+            if scores is None:
                 continue
-            least = np.partition(s, -k)[-k] if n_ok > k else -np.inf
-            near = np.flatnonzero((s >= least) & (s > -np.inf))
-            place = near if c is None else c[near]
-            order = np.lexsort((ids[place], -s[near]))[:k]
-            out.append((np.full(len(order), at + i), place[order], s[near][order]))
-    if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), done
-    return *(np.concatenate(c) for c in zip(*out, strict=True)), done
+            done += len(scores)
+            held = sorted((-int(s), int(ids[x])) for s, x in zip(scores.tolist(), c.tolist(), strict=False)) if len(scores) <= 4 * k else _first(scores, ids[c[: len(scores)]], k)
+            out += [(i, x, -s) for s, x in held[:k] if least[i] is None or -s >= least[i]]
+    return out, done
+
+
+def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(- score, id) of the best k, ties to the smaller id."""
+    kth = np.sort(scores)[-k]
+    near = np.flatnonzero(scores >= kth)
+    return sorted((-int(scores[x]), int(ids[x])) for x in near.tolist())[:k]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. candidates and queries: (vec_id long, v array<long>), v not null."""
-    spark = candidates.sparkSession
-    candidates = common.materialize(candidates)
-    whole = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("r2"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).head()
-    n, dims, radius2 = whole["n"], max(whole["d"] or 1, 1), float(whole["r2"] or 0)
-    exact = float(whole["most"] or 0) ** 2 * dims < EXACT
-    folder = common.shared_dir(spark)
-    queries.groupBy("vec_id").agg(F.min("v").alias("v")).write.option("maxRecordsPerFile", FILE).parquet(folder)
-    files = [f"{folder}/{x.rsplit('/', 1)[-1]}" for x in spark.read.schema("vec_id long, v array<long>").parquet(folder).inputFiles()]
+    found = _search(candidates, queries, k, False)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def matrix(column) -> np.ndarray:
-        rows = column.to_pylist()
-        out = np.zeros((len(rows), dims), dtype=np.float64 if exact else object)
-        for i, row in enumerate(rows):
-            out[i, : len(row)] = row[:dims]
-        return out
 
-    sample = candidates.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow() if exact else None
-    lifted = lambda x: np.concatenate([x, np.sqrt(np.maximum(radius2 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
-    pivots = choose_pivots(lifted(matrix(sample.column("v"))), PIVOTS) if exact else None
+def evaluated(candidates: DataFrame, queries: DataFrame, k: int) -> float:
+    """The share of all pairs of a query and a candidate whose product ``top_k`` computes in blocks."""
+    row = _search(candidates, queries, k, True).agg(F.sum("query_id"), F.sum("vec_id")).head()
+    return row[1] / row[0] if row[0] else 0.0
 
-    def apart(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(candidates: DataFrame, queries: DataFrame, k: int, count: bool) -> DataFrame:
+    """(query_id, vec_id, score) of each block's best k; with ``count``, (pairs, products, 0) of each block instead."""
+    spark = candidates.sparkSession
+    candidates = common.materialize(candidates)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    whole = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(square).alias("r2"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).head()
+    if not whole["n"]:
+        return spark.createDataFrame([], FOUND)
+    dims = max(whole["d"], 1)
+    space = Space(dims, float(whole["most"] or 0) ** 2 * dims < EXACT, float(whole["r2"]))
+    sample = candidates.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow()  # bounded
+    sample_ids, sample_rows = sample.column("vec_id").to_numpy(), space.matrix(sample.column("v"))
+    space.pivots = choose_pivots(space.lifted(sample_rows), PIVOTS)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with their k-th best score in the sample."""
+        for batch in batches:
+            q, kth = space.matrix(batch.column(1)), []
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                s = space.scores(sample_rows, q[i])[sample_ids != own]
+                kth.append(int(np.sort(s)[-k]) if len(s) >= k else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kth, pa.int64())], names=["vec_id", "v", "kth"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nearest = space.apart(space.lifted(space.matrix(batch.column(1)))).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest, pa.int32())], names=["vec_id", "v", "pivot"])
+
+    asked = common.materialize(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    folder = common.shared_dir(spark)
+    asked.mapInArrow(bounded, "vec_id long, v array<long>, kth long").write.option("maxRecordsPerFile", FILE).parquet(folder)
+    files = [f"{folder}/{x.rsplit('/', 1)[-1]}" for x in spark.read.schema("vec_id long, v array<long>, kth long").parquet(folder).inputFiles()]
+    placed = common.materialize(candidates.mapInArrow(dealt, "vec_id long, v array<long>, pivot int"))
+    common.release(candidates, asked)
+    sizes = placed.groupBy("pivot").agg(F.count("*").alias("n"))  # a row a pivot
+    blocks = placed.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n") / BLOCK)))
+
+    def run(block: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
 
         fs, _ = common.file_system(folder)
-
-        def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held)
-            order = np.argsort(block.column("vec_id").to_numpy(), kind="stable")
-            ids, table = block.column("vec_id").to_numpy()[order], matrix(block.column("v"))[order]
-            bounds = apart(lifted(table)).astype(np.float32) if exact else None
-            for path in files:
-                got = pq.read_table(common.file_system(path)[1], filesystem=fs)
-                if not got.num_rows:
-                    continue
-                query_ids, q = got.column("vec_id").to_numpy(), matrix(got.column("v"))
-                if exact:
-                    query_bounds = apart(np.concatenate([q, np.zeros((len(q), 1))], axis=1)).astype(np.float32)
-                    a, b, s, _ = best_of_block(q, query_ids, table, ids, bounds, query_bounds, radius2, k)
-                    s = s.astype(np.int64)
-                else:
-                    score = lambda i, j: max(-(2**63), min(2**63 - 1, int(sum(q[i] * table[j]))))
-                    ranked = lambda i: sorted((-score(i, j), int(ids[j]), j) for j in range(len(table)) if ids[j] != query_ids[i])[:k]
-                    found = [(i, j, -x) for i in range(len(q)) for x, _, j in ranked(i)]
-                    a, b, s = (np.array([f[c] for f in found], dtype=np.int64) for c in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        held, rows = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= BLOCK:
-                yield from one(held)
-                held, rows = [], 0
-        if held:
-            yield from one(held)
-
-    common.arrow_rows(candidates, BLOCK // 8)
-    blocks = candidates.repartition(max(1, -(-n // BLOCK)))
-    found = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, table = block.column("vec_id").to_numpy(), space.matrix(block.column("v"))
+        rows, pairs, products = [], 0, 0
+        for path in files:
+            got = pq.read_table(common.file_system(path)[1], filesystem=fs)
+            if got.num_rows:
+                names = got.column("vec_id").to_numpy()
+                found, done = best_of_block(space, space.matrix(got.column("v")), names, got.column("kth").to_pylist(), table, ids, k)
+                pairs, products = pairs + len(names) * len(ids), products + done
+                rows += [(int(names[i]), x, s) for i, x, s in found]
+        rows = [(pairs, products, 0)] if count else rows
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["query_id", "vec_id", "score"])
+
+    return blocks.select("pivot", "part", "vec_id", "v").groupBy("pivot", "part").applyInArrow(run, FOUND)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
