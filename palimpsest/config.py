@@ -119,6 +119,12 @@ class Config:
         }
     )
 
+    @classmethod
+    def full(cls, **changes) -> Config:
+        """The preset of an evaluation: every part of the model on, but for the two that evaluations vary (transcript_ingest, spreading_debias_enabled)."""
+        on = ("prospect", "tension", "channels", "adaptive_k", "feedback", "actr", "displacement_edges", "sparse_recall", "multiscale", "query_aware_spread", "hierarchy", "multichannel", "soft_decisions", "cold_start")
+        return cls(**{f"{name}_enabled": True for name in on} | changes)
+
     @property
     def max_lag(self) -> int:
         """Largest time difference that an edge can span: exp(-lag / tau) times the largest similarity reaches theta_edge."""

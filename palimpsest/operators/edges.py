@@ -53,14 +53,17 @@ def graph_counts(memories: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def adjust_edges(edges: DataFrame, changes: DataFrame, c: Config) -> DataFrame:
-    """Edges after feedback (Eq 16): factors of recalled endpoints, in order of rank, capped at 1, dropped below theta_edge.
+    """Edges after feedback (Eq 16): factors of recalled endpoints, in order of query and rank, capped at 1, dropped below theta_edge.
 
-    changes: store_id, mem_id, rank, factor. Cap and drop between two factors make their order count, so both endpoints'
-    factors meet in one row and are applied in turn.
+    changes: store_id, mem_id, rank, factor, and query_id where several queries recalled. Cap and drop between two factors make
+    their order count, so all factors of both endpoints meet in the edge's row and are applied in turn; an edge stays one row.
     """
-    one = changes.select("store_id", F.col("mem_id").alias("src"), F.struct("rank", "factor").alias("x"))
-    two = changes.select("store_id", F.col("mem_id").alias("dst"), F.struct("rank", "factor").alias("y"))
+    query = F.col("query_id").cast("long") if "query_id" in changes.columns else F.lit(0).cast("long")
+    held = changes.groupBy("store_id", "mem_id").agg(F.collect_list(F.struct(query.alias("query_id"), F.col("rank"), F.col("factor"))).alias("steps"))
+    one = held.select("store_id", F.col("mem_id").alias("src"), F.col("steps").alias("x"))
+    two = held.select("store_id", F.col("mem_id").alias("dst"), F.col("steps").alias("y"))
     met = edges.join(one, ["store_id", "src"], "left").join(two, ["store_id", "dst"], "left")
-    steps = F.array_sort(F.filter(F.array("x", "y"), lambda s: s.isNotNull()))
-    after = F.aggregate(steps, F.col("weight"), lambda w, s: F.when(w * s["factor"] >= c.theta_edge, F.least(w * s["factor"], F.lit(1.0))))
+    none = F.array().cast(held.schema["steps"].dataType)
+    met = met.withColumn("steps", F.array_sort(F.concat(F.coalesce("x", none), F.coalesce("y", none))))
+    after = F.aggregate("steps", F.col("weight"), lambda w, s: F.when(w * s["factor"] >= c.theta_edge, F.least(w * s["factor"], F.lit(1.0))))
     return met.select("store_id", "src", "dst", after.alias("weight")).filter("weight is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..functions.scoring import base_level, compressed, effective_k, recency
 from ..functions.vectors import blend, cosine, norm, normalized, sigmoid, sum_vectors, total
 
 QUERY = ("query_id", "store_id")
+#: Rows of a block, of queries and of memories, on average.
+BLOCK = 4096
+PAIRS = "query_id long, mem_id long, score double"
 
 
 def meet(queries: DataFrame, memories: DataFrame) -> DataFrame:
@@ -23,10 +28,55 @@ def ranked(df: DataFrame, score: str, k: int | Column, by: list[str] | None = No
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    return np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit rows; (nearly) zero ones are zero, so that their cosines are."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(n < 1e-8, 0.0, x / np.maximum(n, 1e-300))
+
+
+def in_blocks(queries: DataFrame, memories: DataFrame, k: int | None) -> DataFrame:
+    """query_id, mem_id, score: cosines of queries (query_id, store_id, q) and all memories (store_id, mem_id, key) of their store.
+
+    A store of n memories and m queries is n / BLOCK times m / BLOCK pairs of blocks, each one matrix product in one task, so a large
+    store is many tasks and no pair is a row before it is known to matter: of each block, a query's best ``k`` leave (None: all).
+    """
+    blocks = lambda df, name: df.groupBy("store_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(queries, "q_blocks").join(blocks(memories, "m_blocks"), "store_id")  # a row a store
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
+    again = lambda c: (F.col(c) + F.lit(0)).alias(c)  # noqa: E731  a column of its own, where both sides come from one table
+    left = queries.join(sizes, "store_id").select(again("store_id"), own("query_id", "q_blocks").alias("qb"), every("m_blocks").alias("mb"), again("query_id"), "q")
+    right = memories.join(sizes, "store_id").select("store_id", every("q_blocks").alias("qb"), own("mem_id", "m_blocks").alias("mb"), "mem_id", "key")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asked) or not len(held):
+            return pa.table({"query_id": pa.array([], pa.int64()), "mem_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        names, ids = asked.column("query_id").to_numpy(), held.column("mem_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, keys, out = ids[order], _units(_matrix(held.column("key")))[order], []
+        q = _units(_matrix(asked.column("q")))
+        for at in range(0, len(names), 256):
+            score = q[at : at + 256] @ keys.T
+            if k is None or k >= len(ids):
+                i, j = np.indices(score.shape).reshape(2, -1)
+            else:  # ties of the k-th go along, and are settled by mem_id later
+                i, j = np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k, None])
+            out.append((names[at + i], ids[j], score[i, j]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({n: pa.array(c) for n, c in zip(("query_id", "mem_id", "score"), columns, strict=True)})
+
+    keys = ("store_id", "qb", "mb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, PAIRS)
+
+
 def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """query_id, rank, mem_id, score: exact top-k by cosine."""
-    met = meet(queries, memories).select("query_id", "mem_id", cosine("q", "key", "q_norm", "key_norm").alias("score"))
-    return ranked(met, "score", k)
+    return ranked(in_blocks(queries.select("query_id", "store_id", "q"), memories.select("store_id", "mem_id", "key"), k), "score", k)
 
 
 def weighted_value(queries: DataFrame, memories: DataFrame, dim: int) -> DataFrame:
@@ -53,7 +103,7 @@ def multi_head(queries: DataFrame, memories: DataFrame, state: DataFrame, c: Con
     """query_id, store_id, mem_id, score of every pair (Eq 9, 9b, 11, 17, 19).
 
     Heads: query and key, query and value, context and key, recency (or base level), sparse. state: store_id, now, context.
-    sparse: query_id, mem_id, sparse.
+    sparse: query_id, mem_id, sparse; with store_id where memories of two stores share an id.
     """
     held = memories.join(state.withColumn("c_norm", norm("context")), "store_id")
     held = held.withColumn("h3", F.when(F.col("context").isNull(), F.lit(0.0)).otherwise(F.greatest(cosine("context", "key", "c_norm", "key_norm"), F.lit(0.0))))
@@ -69,7 +119,7 @@ def multi_head(queries: DataFrame, memories: DataFrame, state: DataFrame, c: Con
     if sparse is None:
         met = met.withColumn("h5", F.lit(0.0))
     else:
-        met = met.join(sparse, ["query_id", "mem_id"], "left").withColumn("h5", F.coalesce("sparse", F.lit(0.0)))
+        met = met.join(sparse, [x for x in ("query_id", "store_id", "mem_id") if x in sparse.columns], "left").withColumn("h5", F.coalesce("sparse", F.lit(0.0)))
     heads = [F.col(f"h{i}") for i in range(1, 6)]
     if c.adaptive_heads:
         most = met.groupBy("query_id").agg(*[F.max(f"h{i}").alias(f"m{i}") for i in range(1, 6)])

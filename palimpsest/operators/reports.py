@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence
+from .evaluation import CATEGORIES
 
+#: The order in which an evaluation's categories are shown.
+CATEGORY_ORDER = [4, 1, 2, 3, 5]
 #: The reports' lines and the order of channels.
 HEADER = "=== MEMORY CONTEXT ==="
 ADVICE = "Use these memories to answer accurately. Distinguish between different relationship types (friends vs partners vs colleagues)."
@@ -84,3 +87,18 @@ def search_report(found: DataFrame, edges: DataFrame) -> DataFrame:
     rows = found.join(count, ["store_id", "mem_id"], "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
     text = F.concat(F.lit("  #"), F.col("rank").cast("string"), F.lit(" activation="), F.format_string("%.4f", "activation"), F.lit(" strength="), F.format_string("%.4f", "strength"), F.lit(" edges="), F.col("edges").cast("string"), F.lit("\n      Input:  "), F.substring("input_text", 1, 80), F.lit("\n      Output: "), F.substring("output_text", 1, 80))
     return rows.select("query_id", "rank", text.alias("line"))
+
+
+def evaluation_report(summary: DataFrame, stats: DataFrame) -> DataFrame:
+    """(place, line) of an evaluation as text: a line for each category, overall, the answerable ones, and what the memory did.
+
+    summary: of ``evaluation.summary``; stats: of ``evaluation.ingest_stats``. A category without questions shows zeros.
+    """
+    spark = summary.sparkSession
+    names = [(k, f"category {c}", CATEGORIES[c]) for k, c in enumerate(CATEGORY_ORDER)] + [(5, "overall", "overall"), (6, "answerable", "answerable"), (7, "answerable, gold present", "gold present"), (8, "answerable, gold absent", "gold absent")]
+    shown = spark.createDataFrame(names, "place int, section string, name string").join(summary, "section", "left")
+    number = lambda c: F.lpad(F.format_string("%.4f", F.coalesce(c, F.lit(0.0))), 8, " ")
+    rows = shown.select("place", F.concat(F.rpad("name", 18, " "), F.lpad(F.coalesce("n", F.lit(0)).cast("string"), 6, " "), number("f1"), number("judge"), F.lpad(F.format_string("%.1f", F.coalesce("gold_pct", F.lit(0.0))), 7, " ")).alias("line"))
+    recalled = summary.filter("section = 'overall'").select(F.lit(10).alias("place"), F.concat(F.lit("memories recalled a question: "), F.format_string("%.2f", "recalled")).alias("line"))
+    held = stats.select(F.inline(F.array(F.struct(F.lit(9).alias("place"), F.concat(F.lit("memories a conversation: "), F.format_string("%.3f", "avg_memories")).alias("line")), F.struct(F.lit(11).alias("place"), F.concat(F.lit("turns filtered: "), F.format_string("%.3f", "filtered_pct"), F.lit("%")).alias("line")))))
+    return rows.unionByName(recalled).unionByName(held)

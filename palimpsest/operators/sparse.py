@@ -47,6 +47,24 @@ def bm25(queries: DataFrame, docs: DataFrame, c: Config) -> DataFrame:
     return met.groupBy("query_id", "mem_id").agg(F.sum(gain).alias("bm25"))
 
 
+def tfidf_by_store(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query_id, mem_id, sparse): as ``tfidf_cosine``, each store being a collection of its own, as recall's sparse head needs (Eq 19).
+
+    queries: query_id, store_id, text; memories: store_id, mem_id, input_text. Everything is keyed by the store and a term, so no
+    term is a key of all stores.
+    """
+    index = memories.select("store_id", "mem_id", F.explode(tokens("input_text")).alias("term")).groupBy("store_id", "mem_id", "term").agg(F.count("*").alias("tf"))
+    n = memories.groupBy("store_id").agg(F.count("*").cast("double").alias("n"))
+    idf = index.groupBy("store_id", "term").agg(F.count("*").alias("df")).join(n, "store_id").select("store_id", "term", F.log(1.0 + F.col("n") / (1.0 + F.col("df"))).alias("idf"))
+    weighed = index.join(idf, ["store_id", "term"]).select("store_id", "mem_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weighed.groupBy("store_id", "mem_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
+    asked = queries.select("query_id", "store_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "store_id", "term").agg(F.count("*").alias("tf"))
+    asked = asked.join(idf, ["store_id", "term"]).select("query_id", "store_id", "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    q_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    dots = asked.join(weighed, ["store_id", "term"]).groupBy("query_id", "store_id", "mem_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    return dots.join(norms, ["store_id", "mem_id"]).join(q_norms, "query_id").select("query_id", "store_id", "mem_id", (F.col("dot") / (F.col("d_norm") * F.col("q_norm"))).alias("sparse"))
+
+
 def minmax(df: DataFrame, score: str, by: str = "query_id"):
     """Score scaled to 0..1 within each query; 0 where all are equal."""
     w = Window.partitionBy(by)

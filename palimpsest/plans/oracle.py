@@ -182,6 +182,25 @@ FEEDBACK = DENSE + _ranked(15, where="true") + f""",
 aligned AS (SELECT r.store_id, r.mem_id, r.rank, r.strength, {_cos("s.context", "r.value")} AS a FROM ranked r JOIN state s ON s.store_id = r.store_id)"""
 
 
+GATE = (
+    MEM
+    + INCOMING
+    + ENTROPY
+    + f""",
+sig AS (SELECT mem_id, max(kk) AS best, max(ok) AS r_out, max(ov) AS r_val FROM met GROUP BY mem_id),
+mixed(store_id, ts, v) AS (SELECT store_id, ts, key FROM mem WHERE ts = 1 UNION ALL SELECT s.store_id, s.ts, (SELECT {_unit("u")} FROM (SELECT {_mix("m.v", "s.key", "0.7::DOUBLE", "0.3::DOUBLE")} AS u)) FROM mixed m JOIN mem s ON s.store_id = m.store_id AND s.ts = m.ts + 1),
+along AS (SELECT a.mem_id, {_cos("a.key", "b.v")} AS d_ctx FROM mem a JOIN mixed b ON a.store_id = b.store_id AND b.ts = a.ts - 1),
+g AS (SELECT s.*, d_ctx, 1.0 / (1.0 + exp(-6.0 * (greatest(0.0, least(1.0, 1.0 - best - (0.15 * r_out + 0.05 * r_val + 0.5 * CASE WHEN d_ctx > 0.05 THEN pow(least((d_ctx - 0.05) / (1.0 - 0.05 + 1e-8), 1.0), 1.5) ELSE 0.0 END + 0.1 * entropy))) - 0.4))) AS gate FROM sig s JOIN along USING (mem_id) JOIN entropy USING (mem_id))
+SELECT mem_id, {_r("best")} AS best, {_r("r_out")} AS r_out, {_r("r_val")} AS r_val, {_r("d_ctx")} AS d_ctx, {_r("gate")} AS gate, CASE WHEN best >= 0.45 THEN 'strengthened' WHEN r_out >= 0.5 OR gate < 0.12 THEN 'filtered' ELSE 'created' END AS action FROM g"""
+)
+GATED = ",\ngates AS (SELECT".join(GATE.rsplit("\nSELECT", 1)) + ")"
+ACTIONS = ",\nacts AS (SELECT mem_id % 10 AS store_id, action FROM gates),\nper AS (SELECT store_id, count(*) AS turns, count(*) FILTER (action = 'filtered') AS filtered, count(*) FILTER (action IN ('created', 'contradiction')) AS memories FROM acts GROUP BY store_id),\nstats AS (SELECT count(*) AS stores, avg(memories) AS avg_memories, 100.0::DOUBLE * sum(filtered) / sum(turns) AS filtered_pct FROM per)"
+RESULTS = _f1("talk", "store_id, turn", "output_text", "input_text", "f") + """,
+results AS (SELECT store_id, (turn % 5 + 1)::INT AS category, f1, (f1 >= 0.1)::INT AS judge, turn % 4 AS num_recalled, turn % 2 = 0 AS gold_present FROM f),
+parts AS (SELECT 'category ' || category AS section, * FROM results UNION ALL SELECT 'overall', * FROM results UNION ALL SELECT 'answerable', * FROM results WHERE category <> 5 UNION ALL SELECT CASE WHEN gold_present THEN 'answerable, gold present' ELSE 'answerable, gold absent' END, * FROM results WHERE category <> 5),
+summary AS (SELECT section, count(*) AS n, round(avg(f1), 4) AS f1, round(avg(judge), 4) AS judge, round(avg(num_recalled), 2) AS recalled, round(100.0::DOUBLE * avg(gold_present::INT), 1) AS gold_pct FROM parts GROUP BY section)"""
+
+
 def queries() -> dict[str, str]:
     out = {
         "dense_topk": MEM + PAIRS + DENSE + _ranked(where="true") + SHOW,
@@ -211,7 +230,7 @@ h4 AS (SELECT mem_id, CASE WHEN max(b) OVER w - min(b) OVER w > 1e-8 THEN (b - m
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY minute DESC) AS place FROM e) WHERE place <= 20),
 n AS (SELECT max(minute) + 1 AS now FROM e),
 b AS (SELECT user_id, ln(greatest(sum(pow(greatest(now - minute, 1), -0.5)), 1e-10)) AS level FROM l, n GROUP BY user_id)
-SELECT user_id, {_r("level")} AS level, {_r("(level - min(level) OVER ()) / (max(level) OVER () - min(level) OVER ())")} AS head FROM b""",
+SELECT user_id, {_r("level")} AS level, {_r("CASE WHEN max(level) OVER () - min(level) OVER () > 1e-8 THEN (level - min(level) OVER ()) / (max(level) OVER () - min(level) OVER ()) ELSE 0.5 END")} AS head FROM b""",
         "tension_split": RECALLED + TENSION + "\nSELECT query_id, rank, mem_id, role FROM roles",
         "edge_band_join": MEM + _edges() + f"\nSELECT store_id, src, dst, {_r('weight')} AS weight FROM edges",
         "edge_displacement": MEM + _edges(True) + f"\nSELECT store_id, src, dst, {_r('weight')} AS weight FROM edges",
@@ -264,14 +283,7 @@ chan AS (SELECT b.mem_id, b.m_mem_id, b.kk, {_mix("m_value", "m_key", "1.0", "-1
 unit AS (SELECT *, {_unit("o")} AS uo, {_unit("n")} AS un FROM chan)
 SELECT mem_id, m_mem_id, {_r(_cos("uo", "un"))} AS disp_sim, {_r("ctx")} AS ctx_sim, kk >= 0.25 AND 0.5 * kk + 0.3 * {_cos("uo", "un")} + 0.2 * ctx < 0.55 AS contradiction FROM unit""",
         "attention_entropy": MEM + INCOMING + ENTROPY + f"\nSELECT mem_id, {_r('entropy')} AS entropy FROM entropy",
-        "gate_chain": MEM
-        + INCOMING
-        + ENTROPY
-        + f""",
-sig AS (SELECT mem_id, max(kk) AS best, max(ok) AS r_out, max(ov) AS r_val FROM met GROUP BY mem_id),
-along AS (SELECT a.mem_id, {_cos("a.key", "b.key")} AS d_ctx FROM mem a JOIN mem b ON a.store_id = b.store_id AND b.ts = a.ts - 1),
-g AS (SELECT s.*, d_ctx, 1.0 / (1.0 + exp(-6.0 * (greatest(0.0, least(1.0, 1.0 - best - (0.15 * r_out + 0.05 * r_val + 0.5 * CASE WHEN d_ctx > 0.05 THEN pow(least((d_ctx - 0.05) / (1.0 - 0.05 + 1e-8), 1.0), 1.5) ELSE 0.0 END + 0.1 * entropy))) - 0.4))) AS gate FROM sig s JOIN along USING (mem_id) JOIN entropy USING (mem_id))
-SELECT mem_id, {_r("best")} AS best, {_r("r_out")} AS r_out, {_r("r_val")} AS r_val, {_r("d_ctx")} AS d_ctx, {_r("gate")} AS gate, CASE WHEN best >= 0.45 THEN 'strengthened' WHEN r_out >= 0.5 OR gate < 0.12 THEN 'filtered' ELSE 'created' END AS action FROM g""",
+        "gate_chain": GATE,
         "soft_decision": MEM
         + INCOMING
         + f""",
@@ -313,7 +325,7 @@ SELECT query_id, mem_id, {_r("dot / (dn.n * qn.n)")} AS sparse FROM (SELECT quer
         + _embed("docs", "mem_id", "text", "dv")
         + _embed("items", "query_id", "text", "qv")
         + """,
-metric AS (SELECT query_id, mem_id, bm25, list_dot_product(qv.e, dv.e) AS dense FROM bm JOIN dv USING (mem_id) JOIN qv USING (query_id)),
+metric AS (SELECT qv.query_id, dv.mem_id, coalesce(bm.bm25, 0.0) AS bm25, list_dot_product(qv.e, dv.e) AS dense FROM dv CROSS JOIN qv LEFT JOIN bm ON bm.mem_id = dv.mem_id AND bm.query_id = qv.query_id),
 scored AS (SELECT query_id, mem_id, round((CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 0.0 END) + 0.15 * (CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0.0 END), 6) AS score FROM metric WINDOW w AS (PARTITION BY query_id))"""
         + _ranked(where="true")
         + "\nSELECT query_id, rank, mem_id, score FROM ranked",
@@ -350,6 +362,47 @@ SELECT query_id, rank, mem_id, origin, {_r("score")} AS score FROM (SELECT *, ro
         + ",\nts AS (SELECT q_id, i AS part, trim(string_split(answer, ',')[i]) AS t, prediction FROM qa, range(1, 5000) r(i) WHERE category = 1 AND i <= len(string_split(answer, ','))),\nps AS (SELECT q_id, part, t, j, trim(string_split(prediction, ',')[j]) AS p FROM ts, range(1, 5000) r(j) WHERE j <= len(string_split(prediction, ',')))"
         + _f1("ps", "q_id, part, j", "p", "t", "g")
         + f",\nmulti AS (SELECT q_id, avg(f1) AS f1 FROM (SELECT q_id, part, max(f1) AS f1 FROM g GROUP BY ALL) GROUP BY q_id)\nSELECT qa.q_id, category, {_r('''CASE WHEN category = 1 THEN multi.f1 WHEN category IN (2, 3, 4) THEN f.f1 WHEN lower(prediction) LIKE '%no information available%' OR lower(prediction) LIKE '%not mentioned%' THEN 1.0 ELSE 0.0 END''')} AS score FROM qa JOIN f USING (q_id) LEFT JOIN multi USING (q_id)",
+        "evaluation_summary": TURNS + RESULTS + "\nSELECT section, n, f1, judge, recalled, gold_pct FROM summary",
+        "ingest_stats": GATED + ACTIONS + f"\nSELECT stores, {_r('avg_memories')} AS avg_memories, {_r('filtered_pct')} AS filtered_pct FROM stats",
+        "evaluation_report": GATED
+        + ACTIONS
+        + TURNS.replace("WITH RECURSIVE turns", ",\nturns")
+        + RESULTS
+        + """,
+names AS (SELECT * FROM (VALUES (0, 'category 4', 'single_hop'), (1, 'category 1', 'multi_hop'), (2, 'category 2', 'temporal'), (3, 'category 3', 'open_domain'), (4, 'category 5', 'adversarial'), (5, 'overall', 'overall'), (6, 'answerable', 'answerable'), (7, 'answerable, gold present', 'gold present'), (8, 'answerable, gold absent', 'gold absent')) v(place, section, name))
+SELECT place::INT AS place, rpad(name, 18, ' ') || lpad(coalesce(n, 0)::VARCHAR, 6, ' ') || lpad(printf('%.4f', coalesce(f1, 0.0)), 8, ' ') || lpad(printf('%.4f', coalesce(judge, 0.0)), 8, ' ') || lpad(printf('%.1f', coalesce(gold_pct, 0.0)), 7, ' ') AS line FROM names LEFT JOIN summary USING (section)
+UNION ALL SELECT 9, 'memories a conversation: ' || printf('%.3f', avg_memories) FROM stats
+UNION ALL SELECT 10, 'memories recalled a question: ' || printf('%.2f', recalled) FROM summary WHERE section = 'overall'
+UNION ALL SELECT 11, 'turns filtered: ' || printf('%.3f', filtered_pct) || '%' FROM stats""",
+        "operating_curve": MEM
+        + PAIRS
+        + DENSE
+        + _ranked(30, where="true")
+        + GOLD
+        + """,
+firsts AS (SELECT g.query_id AS q_id, min(r.rank) AS first FROM gold g JOIN ranked r ON r.query_id = g.query_id AND r.mem_id = g.mem_id GROUP BY g.query_id),
+asked AS (SELECT m.mem_id AS q_id, (m.mem_id % 5 + 1) AS category, k, coalesce(f.first <= k, false) AS found FROM mem m CROSS JOIN (VALUES (0), (1), (2), (3), (5), (8), (12), (20), (30)) b(k) LEFT JOIN firsts f ON f.q_id = m.mem_id),
+told AS (SELECT *, NOT found AND (q_id + k) % 3 = 0 AS refused FROM asked),
+judged AS (SELECT *, CASE WHEN q_id % 89 <> 0 THEN (CASE WHEN category = 5 THEN refused ELSE found END)::INT END AS judge FROM told)
+SELECT k::INT AS k, count(judge) FILTER (category <> 5) AS n_answerable, count(judge) FILTER (category = 5) AS n_adversarial, round(avg(judge) FILTER (category <> 5), 4) AS answerable_judge, round(avg(judge) FILTER (category = 5), 4) AS adversarial_judge, round(avg(refused::INT) FILTER (category <> 5 AND judge IS NOT NULL), 4) AS answerable_refusal_rate, round(avg(found::INT) FILTER (category <> 5 AND judge IS NOT NULL), 4) AS answerable_gold_present, round(avg(judge) FILTER (category = 1), 4) AS judge_multi_hop, round(avg(judge) FILTER (category = 2), 4) AS judge_temporal, round(avg(judge) FILTER (category = 3), 4) AS judge_open_domain, round(avg(judge) FILTER (category = 4), 4) AS judge_single_hop, count(*) FILTER (judge IS NULL) AS errors FROM judged GROUP BY k""",
+        "joined_categories": TURNS + "\nSELECT store_id, turn, CASE WHEN turn % 4 = 0 THEN 'opening' ELSE 'follow-up' END AS kind, CASE WHEN turn % 4 = 0 THEN length(text)::INT END AS n FROM turns WHERE role = 'user'",
+        "sparse_head_recall": TURNS
+        + _embed("talk", "store_id, turn", "input_text", "ki")
+        + _embed("talk", "store_id, turn", "output_text", "vi")
+        + ",\nheld AS (SELECT t.store_id, row_number() OVER (PARTITION BY t.store_id ORDER BY t.turn) - 1 AS mem_id, row_number() OVER (PARTITION BY t.store_id ORDER BY t.turn) AS ts, ki.e AS key, vi.e AS value, t.input_text FROM talk t JOIN ki USING (store_id, turn) JOIN vi USING (store_id, turn)),\nstate AS (SELECT store_id, max(ts) + 1 AS now, arg_max(key, ts) AS context FROM held GROUP BY store_id),\nqs AS (SELECT store_id, arg_min(input_text, turn) || ' ' || arg_max(output_text, turn) AS text FROM talk GROUP BY store_id)"
+        + _embed("qs", "store_id", "text", "qe")
+        + f""",
+terms AS (SELECT store_id, mem_id, term, count(*)::DOUBLE AS tf FROM (SELECT store_id, mem_id, unnest(regexp_extract_all(lower(input_text), '[a-z0-9]+')) AS term FROM held) GROUP BY ALL),
+n AS (SELECT store_id, count(*)::DOUBLE AS n FROM held GROUP BY store_id),
+idf AS (SELECT store_id, term, ln(1.0 + any_value(n.n) / (1.0 + count(*))) AS idf FROM terms JOIN n USING (store_id) GROUP BY store_id, term),
+tw AS (SELECT store_id, mem_id, term, tf * idf AS w FROM terms JOIN idf USING (store_id, term)),
+qt AS (SELECT store_id, term, count(*) * any_value(idf) AS w FROM (SELECT store_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM qs) JOIN idf USING (store_id, term) GROUP BY ALL),
+tn AS (SELECT store_id, mem_id, sqrt(sum(w * w)) AS n FROM tw GROUP BY ALL),
+qn AS (SELECT store_id, sqrt(sum(w * w)) AS n FROM qt GROUP BY ALL),
+sp AS (SELECT d.store_id, d.mem_id, d.dot / (tn.n * qn.n) AS sparse FROM (SELECT a.store_id, b.mem_id, sum(a.w * b.w) AS dot FROM qt a JOIN tw b USING (store_id, term) GROUP BY ALL) d JOIN tn USING (store_id, mem_id) JOIN qn USING (store_id)),
+scored AS (SELECT h.store_id AS query_id, h.mem_id, (0.45::DOUBLE * greatest({_cos("q.e", "h.key")}, 0.0) + 0.2::DOUBLE * greatest({_cos("q.e", "h.value")}, 0.0) + 0.2::DOUBLE * greatest({_cos("s.context", "h.key")}, 0.0) + 0.15::DOUBLE * exp(-(s.now - h.ts) / 10.0) + 0.15::DOUBLE * coalesce(sp.sparse, 0.0)) / 1.15::DOUBLE AS score FROM held h JOIN qe q USING (store_id) JOIN state s USING (store_id) LEFT JOIN sp USING (store_id, mem_id))"""
+        + _ranked()
+        + SHOW,
         "stratified_sample": "WITH n AS (SELECT lang, greatest(1, round(200 * count(*) / (SELECT count(*) FROM documents)::DOUBLE)) AS share FROM documents GROUP BY lang)\nSELECT lang, mem_id FROM (SELECT d.lang, d.doc_id AS mem_id, n.share, row_number() OVER (PARTITION BY d.lang ORDER BY md5(d.doc_id || ':0')) AS place FROM documents d JOIN n USING (lang)) WHERE place <= share",
         "strength_summary": MEM + f"\nSELECT store_id, count(*) AS n, {_r('avg(strength)')} AS mean, max(strength) AS most, min(strength) AS least, {_r('median(strength)')} AS median FROM mem GROUP BY store_id",
         "strength_histogram": MEM + "\nSELECT s.store_id, b.bucket, (SELECT count(*) FROM mem m WHERE m.store_id = s.store_id AND m.strength >= b.lo AND m.strength < b.hi) AS n FROM (SELECT DISTINCT store_id FROM mem) s, (VALUES ('0.0-0.1', 0.0::DOUBLE, 0.1::DOUBLE), ('0.1-0.5', 0.1, 0.5), ('0.5-1.0', 0.5, 1.0), ('1.0-2.0', 1.0, 2.0), ('2.0+', 2.0, 1e300)) b(bucket, lo, hi)",

@@ -96,13 +96,32 @@ def actr_base_level(spark, d):
     held = last.groupBy("user_id").agg(F.sort_array(F.collect_list("minute")).alias("history"), F.max("minute").alias("at"))
     level = held.withColumn("now", e.agg(F.max("minute") + 1).scalar()).select("user_id", base_level(F.col("now"), F.col("history"), F.col("at"), C).alias("level"))
     low, high = level.agg(F.min("level")).scalar(), level.agg(F.max("level")).scalar()
-    return level.select("user_id", r6("level", "level"), r6((F.col("level") - low) / (high - low), "head"))
+    return level.select("user_id", r6("level", "level"), r6(F.when(high - low > 1e-8, (F.col("level") - low) / (high - low)).otherwise(0.5), "head"))
 
 
 def tension_split(spark, d):
     return recall.tension(_recalled(spark, d, C), t.memories(spark, d), C).select("query_id", "rank", "mem_id", "role")
 
 
+def _talk(spark, d):
+    """Memories of a talk's turns, and as queries the talk's last words."""
+    c = replace(C, sparse_recall_enabled=True)
+    rows = t.pairs(spark, d)
+    held = ingest.with_norms(ingest.direct_ingest(rows.select("store_id", "turn", "input_text", "output_text"), c, t.DIM))
+    state = held.groupBy("store_id").agg((F.max("ts") + 1).alias("now"), F.max_by("key", "ts").alias("context"))
+    asked = rows.groupBy("store_id").agg(F.max_by("output_text", "turn").alias("said"), F.min_by("input_text", "turn").alias("first"))
+    asked = asked.select(F.col("store_id").alias("query_id"), "store_id", F.concat_ws(" ", "first", "said").alias("text"))
+    return c, held, state, asked
+
+
+def sparse_head_recall(spark, d):
+    """All five heads: the words of a query are matched with its store's own index (Eq 19)."""
+    c, held, state, asked = _talk(spark, d)
+    found = sparse.tfidf_by_store(asked, held)
+    scored = recall.multi_head(asked.select("query_id", "store_id", normalized(hash_embed("text")).alias("q")), held, state, c, found)
+    return recall.recall(scored, c).select("query_id", "rank", "mem_id", r6("score", "score"))
+
+
 # Graph
 
 
@@ -242,7 +261,9 @@ def gate_chain(spark, d):
     mem = t.memories(spark, d)
     met = decisions.incoming(mem)
     c = replace(C, gate_w_entropy=0.1, theta_create=0.45, theta_out_filter=0.5)
-    before = mem.select(F.col("store_id"), (F.col("ts") + 1).alias("ts"), F.col("key").alias("context"), F.col("key_norm").alias("c_norm"))
+    # What comes is compared with the context vector as the turns before have left it (Eq 8).
+    states = ingest.context_states(mem.select("store_id", F.col("ts").alias("turn"), F.col("key").alias("e")), c)
+    before = states.select("store_id", (F.col("turn") + 1).alias("ts"), "context", norm("context").alias("c_norm"))
     along = mem.join(before, ["store_id", "ts"]).select("store_id", "mem_id", cosine("key", "context", "key_norm", "c_norm").alias("d_ctx"))
     signals = decisions.gate_signals(met).join(_entropy(met), ["store_id", "mem_id"]).join(along, ["store_id", "mem_id"])
     return decisions.gated(signals, c).select("mem_id", r6("best", "best"), r6("r_out", "r_out"), r6("r_val", "r_val"), r6("d_ctx", "d_ctx"), r6("gate", "gate"), "action")
@@ -350,10 +371,11 @@ def bm25_topk(spark, d):
 def hybrid_topk(spark, d):
     docs, asked = t.documents(spark, d), t.benchmark(spark, d)
     scored = sparse.bm25(asked, docs, C)
-    left = asked.select("query_id", normalized(hash_embed("text")).alias("q"))
-    right = docs.select("mem_id", normalized(hash_embed("text")).alias("v"))
-    # Every document is a candidate of every query; without a common term bm25 is zero.
-    every = right.crossJoin(F.broadcast(left) if asked.count() <= 10_000 else left).select("query_id", "mem_id", dot("q", "v").alias("dense"))
+    one = F.lit(0).cast("long").alias("store_id")
+    left = asked.select("query_id", one, normalized(hash_embed("text")).alias("q"))
+    right = docs.select("mem_id", one, normalized(hash_embed("text")).alias("key"))
+    # Every document is a candidate of every query, in blocks; without a common term bm25 is zero.
+    every = recall.in_blocks(left, right, None).withColumnRenamed("score", "dense")
     met = every.join(scored, ["query_id", "mem_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     both = met.withColumns({"d": sparse.minmax(met, "dense"), "b": sparse.minmax(met, "bm25")})
     both = both.withColumn("score", F.round(F.col("d") + C.hybrid_weight * F.col("b"), 6))
@@ -469,10 +491,54 @@ def stemmed_f1(spark, d):
 
 
 def score_answers(spark, d):
+    rows = t.pairs(spark, d).select((F.col("store_id") * 100 + F.col("turn")).alias("q_id"), F.col("output_text").alias("prediction"), F.col("input_text").alias("answer"), (F.col("turn") % 5 + 1).cast("int").alias("category"))
+    return evaluation.score_answers(rows, "q_id", stems=False).select("q_id", "category", r6("score", "score"))
+
+
+def score_stemmed_answers(spark, d):
+    """As score_answers, on stems, which SQL has no function for."""
     rows = t.pairs(spark, d).select((F.col("store_id") * 100 + F.col("turn")).alias("q_id"), F.col("output_text").alias("prediction"), F.col("input_text").alias("answer"), (F.col("turn") % 5 + 1).cast("int").alias("category"))
     return evaluation.score_answers(rows, "q_id").select("q_id", "category", r6("score", "score"))
 
 
+def _results(spark, d):
+    """Scored answers of an evaluation: each turn's reply as the prediction of what was said."""
+    rows = evaluation.token_f1(t.pairs(spark, d), "output_text", "input_text", "f1")
+    return rows.select("store_id", (F.col("turn") % 5 + 1).cast("int").alias("category"), "f1", (F.col("f1") >= 0.1).cast("int").alias("judge"), (F.col("turn") % 4).alias("num_recalled"), (F.col("turn") % 2 == 0).alias("gold_present"))
+
+
+def evaluation_summary(spark, d):
+    return evaluation.summary(_results(spark, d))
+
+
+def evaluation_report(spark, d):
+    return reports.evaluation_report(evaluation.summary(_results(spark, d)), evaluation.ingest_stats(gate_chain(spark, d).select((F.col("mem_id") % 10).alias("store_id"), "action")))
+
+
+def ingest_stats(spark, d):
+    out = evaluation.ingest_stats(gate_chain(spark, d).select((F.col("mem_id") % 10).alias("store_id"), "action"))
+    return out.select("stores", r6("avg_memories", "avg_memories"), r6("filtered_pct", "filtered_pct"))
+
+
+def operating_curve(spark, d):
+    """Means by budget: a question is judged right where its gold evidence is in the budget, an adversarial one where it is refused."""
+    mem = t.memories(spark, d)
+    got = recall.dense_topk(t.as_queries(mem), mem, max(BUDGETS))
+    first = got.join(_gold(mem), ["query_id", "mem_id"], "left_semi").groupBy(F.col("query_id").alias("q_id")).agg(F.min("rank").alias("first"))
+    asked = mem.select(F.col("mem_id").alias("q_id"), (F.col("mem_id") % 5 + 1).cast("int").alias("category"), F.explode(F.array(*map(F.lit, [0, *BUDGETS]))).alias("k"))
+    asked = asked.join(first, "q_id", "left").withColumn("found", F.coalesce(F.col("first") <= F.col("k"), F.lit(False)))
+    refused = ~F.col("found") & ((F.col("q_id") + F.col("k")) % 3 == 0)
+    judge = F.when(F.col("q_id") % 89 != 0, F.when(F.col("category") == 5, refused).otherwise(F.col("found")).cast("int"))
+    return evaluation.operating_curve(asked.select("q_id", "k", "category", judge.alias("judge"), refused.alias("refused")), first)
+
+
+def joined_categories(spark, d):
+    """Samples of two kinds of questions as one."""
+    rows = t.turns(spark, d).filter("role = 'user'").select("store_id", "turn", "text")
+    first, second = rows.filter("turn % 4 = 0").withColumn("kind", F.lit("opening")), rows.filter("turn % 4 <> 0").drop("text").withColumn("kind", F.lit("follow-up"))
+    return evaluation.joined_categories(first, second).select("store_id", "turn", "kind", F.length("text").alias("n"))
+
+
 def stratified_sample(spark, d):
     rows = t.documents(spark, d)
     return evaluation.stratified_sample(rows, "lang", F.md5(F.concat(F.col("mem_id").cast("string"), F.lit(":0"))), SAMPLE).select("lang", "mem_id")
