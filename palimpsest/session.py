@@ -1,7 +1,10 @@
 """A running memory: turns stream in, snapshots hold what they leave, recall answers from the last snapshot.
 
 A ``MemorySession`` keeps three tables under one path: turns (appended), actions (the stream's output) and versioned
-snapshots. Recall reads a snapshot and changes nothing, so it needs no lock against updates.
+snapshots. Recall reads a snapshot and changes nothing, so it needs no lock against updates. A snapshot holds each store's state,
+so the next one folds only the turns that came since; a question to one store reads that store's buckets only.
+
+What a prompt held is kept with its turn, and the fold gives feedback on it right behind the turn's update, as the response is known then.
 """
 
 from __future__ import annotations
@@ -17,11 +20,11 @@ from pyspark.sql.streaming import StreamingQuery
 from .config import Config
 from .functions.text import hash_embed
 from .functions.vectors import normalized
-from .operators import edges, ingest, recall, reports, spread, update
+from .operators import hierarchy, ingest, recall, reports, sparse, spread, update
 from .sources import snapshots
 from .streaming.updates import update_stream
 
-TURNS = "store_id long, turn long, input_text string, output_text string"
+TURNS = "store_id long, turn long, input_text string, output_text string, recalled array<long>"
 
 
 def embed(text: str | Column) -> Column:
@@ -52,10 +55,14 @@ class MemorySession:
     config: Config = field(default_factory=Config)
     embed: Callable[[str], Column] = embed
     query: StreamingQuery | None = None
+    #: Turns of a wrapped client after which a new snapshot is made; 0: only when asked for.
+    snapshot_every: int = 0
 
     def observe(self, turns: DataFrame) -> None:
-        """Appends turns (store_id, turn, input_text, output_text), numbered from 0 in each store."""
-        turns.select("store_id", "turn", "input_text", "output_text").write.mode("append").parquet(f"{self.path}/turns")
+        """Appends turns (store_id, turn, input_text, output_text, and recalled: ids of what the prompt held), numbered from 0 in each store."""
+        if "recalled" not in turns.columns:
+            turns = turns.withColumn("recalled", F.lit(None).cast("array<long>"))
+        turns.select("store_id", "turn", "input_text", "output_text", "recalled").write.mode("append").parquet(f"{self.path}/turns")
 
     def _embedded(self, turns: DataFrame) -> DataFrame:
         return turns.withColumns({"e_in": self.embed("input_text"), "e_out": self.embed("output_text")})
@@ -93,47 +100,76 @@ class MemorySession:
         return {r["name"]: r["e"] for r in rows.select("name", self.embed("text").alias("e")).collect()}
 
     def snapshot(self) -> str:
-        """Folds all observed turns and saves memories, edges and layer state as a new version."""
+        """Folds the turns that came since the last snapshot, and saves states, memories, edges, patterns, identities and layer states as a new version."""
         turns = self.spark.read.schema(TURNS).parquet(f"{self.path}/turns").dropDuplicates(["store_id", "turn"])
-        held = update.memories(self._embedded(turns), self.config, self._anchors())
-        last = turns.groupBy("store_id").agg((F.max("turn") + 1).alias("timestep"))
-        contexts = ingest.context_states(self._embedded(turns).select("store_id", "turn", F.col("e_in").alias("e")), self.config)
-        state = contexts.groupBy("store_id").agg(F.max_by("context", "turn").alias("context_vector")).join(last, "store_id").select("store_id", "timestep", "context_vector")
-        first = snapshots.save({"memories": held}, f"{self.path}/folding")
-        held = self.spark.read.schema(snapshots.TABLES["memories"]).parquet(f"{self.path}/folding/{first}/memories")
-        return snapshots.save({"memories": held, "edges": edges.build_edges(ingest.with_norms(held), self.config), "layer_state": state}, f"{self.path}/snapshots")
-
-    def recall(self, asked: DataFrame) -> DataFrame:
-        """query_id, store_id, mem_id, rank, score, and the memory's columns. asked: query_id, store_id, text. Empty without a snapshot."""
-        tables, _ = snapshots.load(self.spark, f"{self.path}/snapshots")
+        last, found = snapshots.load(self.spark, f"{self.path}/snapshots", names=["layers"], verify=False)
+        known = last["layers"] if found else None
+        if known is not None:
+            due = known.select("store_id", "due")
+            turns = turns.join(due, "store_id", "left").filter(F.col("turn") >= F.coalesce("due", F.lit(0))).drop("due")
+        states = update.advance(known, self._embedded(turns), self.config, self._anchors())
+        folding = snapshots.save({"layers": states}, f"{self.path}/folding")  # once, for all tables that are laid out from it
+        states = self.spark.read.schema(snapshots.TABLES["layers"]).parquet(f"{self.path}/folding/{folding}/layers")
+        return snapshots.save({"layers": states} | {name: update.table_of(states, name) for name in update.TABLES}, f"{self.path}/snapshots")
+
+    def _tables(self, store_id: int | None) -> dict[str, DataFrame]:
+        names = ["memories", "edges", "layer_state", *(["l2", "l3"] if self.config.hierarchy_enabled else [])]
+        return snapshots.load(self.spark, f"{self.path}/snapshots", store_id, names, verify=False)[0]
+
+    def recall(self, asked: DataFrame, store_id: int | None = None) -> DataFrame:
+        """query_id, store_id, mem_id, rank, score, and the memory's columns. asked: query_id, store_id, text. Empty without a snapshot.
+
+        store_id: of all questions, if they are to one store; then only that store is read.
+        """
+        return self._recall(asked, self._tables(store_id))
+
+    def _recall(self, asked: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         c, mem = self.config, ingest.with_norms(tables["memories"])
         state = tables["layer_state"].select("store_id", F.col("timestep").alias("now"), F.col("context_vector").alias("context"))
         queries = asked.select("query_id", "store_id", self.embed("text").alias("q"))
         q = recall.effective_query(queries, mem, state, c).select("query_id", "store_id", F.col("q_eff").alias("q"))
-        scored = recall.multi_head(q, mem, state, c)
+        words = sparse.tfidf_by_store(asked, tables["memories"]) if c.sparse_recall_enabled else None
+        scored = recall.multi_head(q, mem, state, c, words)
         aware = recall.meet(q, mem).select("query_id", "mem_id", recall.cosine("q", "key", "q_norm", "key_norm").alias("sim"))
         start = scored.select("query_id", "store_id", "mem_id", F.col("score").alias("a0")).join(aware, ["query_id", "mem_id"])
         found = spread.collect(spread.spread(start, tables["edges"], c), c).withColumnRenamed("activation", "score")
+        if c.hierarchy_enabled:
+            found = hierarchy.rerank(found, q, tables["l2"], tables["l3"], c)
         return found.join(tables["memories"], ["store_id", "mem_id"])
 
-    def prompts(self, asked: DataFrame, k: int | None = None) -> DataFrame:
+    def prompts(self, asked: DataFrame, k: int | None = None, store_id: int | None = None) -> DataFrame:
         """(query_id, prompt) by the configured report: tension before channels before plain."""
+        tables = self._tables(store_id)
+        return self._prompts(self._recall(asked, tables), tables, k)
+
+    def _prompts(self, found: DataFrame, tables: dict[str, DataFrame], k: int | None = None) -> DataFrame:
         c = self.config
-        found = self.recall(asked).filter(F.col("rank") <= (k or c.top_k))
+        found = found.filter(F.col("rank") <= (k or c.top_k))
         if c.tension_enabled:
-            tables, _ = snapshots.load(self.spark, f"{self.path}/snapshots")
             roles = recall.tension(found.select("query_id", "store_id", "mem_id", "rank", "score"), ingest.with_norms(tables["memories"]), c)
             return reports.tension_prompt(found.join(roles.select("query_id", "mem_id", "role"), ["query_id", "mem_id"]))
         return reports.channel_prompt(found) if c.channels_enabled else reports.prompt(found)
 
+    def answer_for(self, store_id: int, text: str) -> tuple[str, list[int]]:
+        """(prompt, ids of the memories that it holds, best first) for one question; empty if nothing is recalled."""
+        asked, tables = self.spark.createDataFrame([(0, store_id, text)], "query_id long, store_id long, text string"), self._tables(store_id)
+        found = self._recall(asked, tables).filter(F.col("rank") <= self.config.top_k).cache()
+        try:
+            row = self._prompts(found, tables).head()
+            return (row["prompt"], [r["mem_id"] for r in found.select("rank", "mem_id").orderBy("rank").collect()]) if row else ("", [])
+        finally:
+            found.unpersist()
+
     def context_for(self, store_id: int, text: str) -> str:
         """The prompt for one question; empty if nothing is recalled."""
-        row = self.prompts(self.spark.createDataFrame([(0, store_id, text)], "query_id long, store_id long, text string")).head()
-        return row["prompt"] if row else ""
+        return self.answer_for(store_id, text)[0]
 
 
 def enable_memory(client: Any, session: MemorySession, store_id: int) -> MemorySession:
-    """Wraps ``client.responses.create``: what is recalled goes into the request, and request and response are observed."""
+    """Wraps ``client.responses.create``: what is recalled goes into the request, and request, response and what was recalled are observed.
+
+    With ``snapshot_every`` set, a snapshot is made after each so many turns, so that new turns are recalled.
+    """
     if getattr(client, "_memory_session", None) is not None:
         return client._memory_session
     original = client.responses.create
@@ -143,9 +179,12 @@ def enable_memory(client: Any, session: MemorySession, store_id: int) -> MemoryS
     def create(**request: Any) -> Any:
         nonlocal count
         said = input_text(request)
-        response = original(**with_context(request, session.context_for(store_id, said)))
-        session.observe(session.spark.createDataFrame([(store_id, count, said, str(getattr(response, "output_text", "")))], TURNS))
+        context, recalled = session.answer_for(store_id, said) if said.strip() else ("", [])
+        response = original(**with_context(request, context))
+        session.observe(session.spark.createDataFrame([(store_id, count, said, str(getattr(response, "output_text", "")), recalled)], TURNS))
         count += 1
+        if session.snapshot_every and count % session.snapshot_every == 0:
+            session.snapshot()
         return response
 
     client.responses.create = create

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 from palimpsest.config import Config
 from palimpsest.session import MemorySession, disable_memory, enable_memory, input_text, with_context
 
-SAID = ["my phone number is 9876543210", "I live in Mumbai near the sea", "mandar is my friend from school", "the cat sat on the mat all day"]
+SAID = ["the locker by the pool has code 5512", "our flat in Porto looks over the river", "Inge taught me to row at the lake", "two herons stood in the reeds at noon"]
 
 
 def test_request_parts():
@@ -28,10 +28,10 @@ def test_client_remembers(spark, tmp_path):
     assert session.error is None
     assert spark.read.parquet(f"{session.path}/actions").count() == len(SAID)
     session.snapshot()
-    client.responses.create(input="what is my phone number", instructions="be brief")
+    client.responses.create(input="which code has the locker by the pool", instructions="be brief")
     assert seen[-1]["instructions"].startswith("be brief\n\n=== MEMORY CONTEXT ===") and SAID[0] in seen[-1]["instructions"]
     for c, mark in ((replace(session.config, channels_enabled=True), "[UNCATEGORIZED]"), (replace(session.config, tension_enabled=True), "=== END MEMORY ===")):
         session.config = c
-        assert mark in session.context_for(7, "phone number")
-    assert session.context_for(8, "phone number") == ""
+        assert mark in session.context_for(7, "locker code")
+    assert session.context_for(8, "locker code") == ""
     assert disable_memory(client) and not disable_memory(client) and session.query is None
