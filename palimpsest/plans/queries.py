@@ -46,16 +46,16 @@ def effective_query(spark, d):
     return out.select("query_id", r6("alpha", "alpha"), r6(cosine("q_eff", "q"), "to_query"), r6(cosine("q_eff", "context"), "to_context"), r6(norm("q_eff"), "length"))
 
 
-def _multi(spark, d, c, context=True):
+def _multi(spark, d, c, best, context=True):
     mem = t.memories(spark, d)
     state = t.state(mem)
     if not context:
         state = state.withColumn("context", F.lit(None).cast("array<double>"))
-    return recall.multi_head(t.as_queries(mem), mem, state, c)
+    return recall.multi_head_best(t.as_queries(mem), mem, state, c, best)
 
 
 def _recalled(spark, d, c, context=True):
-    return recall.recall(_multi(spark, d, c, context), c)
+    return recall.recall(_multi(spark, d, c, c.top_k, context), c)
 
 
 def _shown(df):
@@ -77,7 +77,7 @@ def adaptive_heads(spark, d):
 def adaptive_k_recall(spark, d):
     mem = t.memories(spark, d)
     c = replace(C, adaptive_k_enabled=True)
-    return _shown(recall.recall(recall.multi_head(t.centres(mem), mem, t.state(mem), c), c))
+    return _shown(recall.recall(recall.multi_head_best(t.centres(mem), mem, t.state(mem), c, c.top_k_max), c))
 
 
 def actr_recall(spark, d):
@@ -453,7 +453,7 @@ def _asked(mem):
 
 def _hits(spark, d):
     mem = t.memories(spark, d)
-    got = recall.ranked(_multi(spark, d, C), "score", 12)
+    got = recall.ranked(_multi(spark, d, C, 12), "score", 12)
     return evaluation.hits(got, _gold(mem), _asked(mem))
 
 
@@ -467,7 +467,7 @@ def recall_by_category(spark, d):
 
 def budget_sweep(spark, d):
     mem = t.memories(spark, d)
-    return evaluation.budget_sweep(recall.ranked(_multi(spark, d, C), "score", max(BUDGETS)), _gold(mem), _asked(mem), BUDGETS).select("k", "n", r6("gold_share", "gold_share"))
+    return evaluation.budget_sweep(recall.ranked(_multi(spark, d, C, max(BUDGETS)), "score", max(BUDGETS)), _gold(mem), _asked(mem), BUDGETS).select("k", "n", r6("gold_share", "gold_share"))
 
 
 def mcnemar_exact(spark, d):

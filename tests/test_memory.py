@@ -284,7 +284,9 @@ def test_each_flag_of_serving_changes_the_result(spark, tmp_path):
         return {r.mem_id: round(r.score, 9) for r in session.recall(asked, 1).collect()}
 
     base, lexical, tree = scores(BASE), scores(replace(BASE, sparse_recall_enabled=True)), scores(replace(BASE, hierarchy_enabled=True))
-    assert base != lexical and base != tree and max(lexical, key=lexical.get) == 1
+    assert base and set(base) == set(lexical) == set(tree) and base != tree
+    share = lambda x: x[1] / sum(x.values())  # noqa: E731  the one memory that has the query's rare words
+    assert share(lexical) > share(base)
 
 
 def test_recall_of_one_store_reads_one_bucket(spark, tmp_path):
