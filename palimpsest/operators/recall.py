@@ -95,9 +95,26 @@ def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
 
 
 def weighted_value(queries: DataFrame, memories: DataFrame, dim: int) -> DataFrame:
-    """Mean value of a store's memories, weighted by strength and similarity (Eq 3); null where the weights add up to nothing."""
-    met = meet(queries, memories).select("query_id", "value", (F.col("strength") * cosine("q", "key", "q_norm", "key_norm")).alias("w"))
-    sums = met.groupBy("query_id").agg(sum_vectors("value", F.col("w"), dim).alias("v"), F.sum("w").alias("w"))
+    """Mean value of a store's memories, weighted by strength and similarity (Eq 3); null where the weights add up to nothing.
+
+    A block's weighted sum is two matrix products, and one row a query; the blocks' sums are added up.
+    """
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names, sums, weights = [np.zeros(0, np.int64)], [np.zeros((0, dim))], [np.zeros(0)]
+        if len(asked) and len(held):
+            keys, values, strength = _units(_matrix(held.column("key"))), _matrix(held.column("value")), held.column("strength").to_numpy()
+            names.append(asked.column("query_id").to_numpy())
+            q = _units(_matrix(asked.column("q")))
+            for at in range(0, len(q), 256):
+                w = (q[at : at + 256] @ keys.T) * strength[None, :]
+                sums.append(w @ values)
+                weights.append(w.sum(axis=1))
+        return pa.table({"query_id": np.concatenate(names), "v": pa.array(list(np.concatenate(sums)), pa.list_(pa.float64())), "w": np.concatenate(weights)})
+
+    found = _dealt(queries.select("query_id", "store_id", "q"), memories.select("store_id", "mem_id", "key", "value", "strength"), ["q"], ["key", "value", "strength"])
+    found = found.applyInArrow(run, "query_id long, v array<double>, w double")
+    sums = found.groupBy("query_id").agg(sum_vectors("v", F.lit(1.0), dim).alias("v"), F.sum("w").alias("w"))
     return sums.select("query_id", F.when(F.col("w") >= 1e-8, F.transform("v", lambda x: x / F.col("w"))).alias("value"))
 
 
