@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from pyspark.sql.window import WindowSpec
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Rows and bytes of texts that a Python worker works on at once; Spark hands it up to 10000 rows and 64 MB.
 ROWS, BYTES = 1000, 8 << 20
+#: Bytes of a batch of what is materialised: small ones leave little behind in the JVM's pools.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 _OWN: dict[str, str] = {}
@@ -39,11 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH_BYTES go to the workers of what is run meanwhile; then the session is as it was."""
+    before = None
+    with suppress(Exception):  # a session that forbids changes keeps its own bound
+        before = spark.conf.get(_BATCH)
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again: it is computed once, and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out
@@ -91,6 +110,8 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = BYTES, rows: int = ROW
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, room, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,17 +13,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to the least of its closed neighbourhood, and edges are mapped along; what is left
     has far fewer nodes. Minima are summed before shuffles and edges join pointers one to one, so a hub costs no
-    more than its edges. Each round is written to the shared folder; the driver sees counts only.
+    more than its edges. Each round is written to the shared folder, and the one before is deleted; the driver sees counts only.
     """
     edges = common.materialize(edges.select("a", "b").filter("a <> b").distinct())
     pointers = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
-        pointers = least if pointers is None else common.materialize(_follow(pointers, least))
+        known = pointers
+        pointers = least if known is None else common.materialize(_follow(known, least))
         mapped = edges.join(least.select(F.col("node").alias("a"), F.col("label").alias("a1")), "a").select("a1", "b")
         mapped = mapped.join(least.select(F.col("node").alias("b"), F.col("label").alias("b1")), "b")
-        edges = common.materialize(mapped.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b")).filter("a <> b").distinct())
+        left = common.materialize(mapped.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b")).filter("a <> b").distinct())
+        common.release(edges, known, least if known is not None else None)
+        edges = left
     if pointers is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return pointers

@@ -35,7 +35,7 @@ from . import common
 #: Pieces that a task packs at a time, and bins dealt to a task of a later round.
 LOCAL_ITEMS, TASK_ITEMS = 50_000, 20_000
 #: Distinct parts of stretches that a worker keeps, and their bytes on average at most.
-CACHE_PARTS, LONG = 1_000_000, 32
+CACHE_PARTS, LONG = 600_000, 32
 #: Words and other parts that are encoded by one call.
 JOINED, AT_ONCE = 1000, 20_000
 #: A stretch that is encoded as two: plain Latin letters (whose lower case is one letter), and ASCII punctuation but for
@@ -228,6 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                 items = []
         if items:
             yield packed()
+        pa.default_memory_pool().release_unused()
 
     def later_round(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

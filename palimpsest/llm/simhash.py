@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunks as files
 from . import common
 from .components import components
 
@@ -202,23 +203,46 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (64-bit hash of the text), n (shingles), s0.. (signature words), bands."""
+def signatures(chunks: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
+    """chunk, row, doc_id, node (64-bit hash of the text), n (shingles), s0.. (signature words), bands."""
     names = ["n", *(f"s{k}" for k in range(SIGNATURE))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            rows, bands = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                own = np.unique(shingle_hashes(_split(text), SHINGLE))
-                rows.append(np.concatenate([np.array([len(own)], dtype=np.uint64), majority(_mixed(own, SIGNATURE))]))
-                bands.append(least_hashes(own).view(np.int64))
-            table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", *names, "bands"])
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                table = files.load(folder, chunk).select([id_col, text_col])
+                at = 0
+                for part in common.slices(iter(table.to_batches())):
+                    rows, bands, nodes = [], [], []
+                    for text in part.column(1).cast(pa.binary()).to_pylist():
+                        own = np.unique(shingle_hashes(_split(text or b""), SHINGLE))
+                        nodes.append(xxh64_intdigest(text or b"", SEED))
+                        rows.append(np.concatenate([np.array([len(own)], dtype=np.uint64), majority(_mixed(own, SIGNATURE))]))
+                        bands.append(least_hashes(own).view(np.int64))
+                    numbers = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+                    columns = [pa.array(np.full(part.num_rows, chunk)), pa.array(np.arange(at, at + part.num_rows, dtype=np.int32)), part.column(0).cast(pa.int64()), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))]
+                    columns += [pa.array(np.ascontiguousarray(numbers[:, k])) for k in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], names=["chunk", "row", "doc_id", "node", *names, "bands"])
+                    at += part.num_rows
+
+    kind = "chunk long, row int, doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>"
+    return chunks.select("chunk").repartition(files.tasks_of(chunks), "chunk").mapInArrow(run, kind)
+
+
+def bodies(places: DataFrame, folder: str, text_col: str) -> DataFrame:
+    """(node, text) of places (chunk, row, node): only these texts are shuffled, read from the chunks that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts = files.load(folder, chunk).column(text_col).take(pa.array([w["row"] for w in wanted])).cast(pa.string())
+                found = pa.table({"node": pa.array([w["node"] for w in wanted], pa.int64()), "text": texts.fill_null("")})
+                yield from common.slices(iter(found.to_batches()))
 
-    given = common.texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    return given.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>")
+    listed = places.groupBy("chunk").agg(F.collect_list(F.struct("row", "node")).alias("wanted"))  # at most a chunk's rows
+    return listed.mapInArrow(run, "node long, text string")
 
 
 def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
@@ -322,51 +346,82 @@ def verified_blocks(rows: DataFrame, bodies: DataFrame, likeness: float) -> Data
     return rows.join(bodies, "node").groupBy("cell", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class) of all rows whose doc_id is not null."""
-    return near_classes(docs, likeness, id_col, text_col).select("doc_id", "class_id")
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a short list."""
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row in batch.column(0):
+            x = np.sort(np.asarray(row.values))
+            i, j = np.triu_indices(len(x), 1)
+            a.append(x[i])
+            b.append(x[j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
 
 
-def near_classes(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (xxhash64 of the text), class_id, first (a node of the class that has class_id) of all rows whose doc_id is not null."""
+def near_classes(chunks: DataFrame, folder: str, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk, row, doc_id, node (64-bit hash of the text), class_id, first (a node of the class that has class_id) of all rows whose doc_id is not null.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in batch.column(0):
-                x = np.sort(np.asarray(row.values))
-                i, j = np.triu_indices(len(x), 1)
-                a.append(x[i])
-                b.append(x[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
-
-    own = common.materialize(signatures(docs, id_col, text_col).filter("doc_id is not null"))
+    Texts stay in their chunks; only those that some signature finds alike are shuffled. Each table is deleted once its readers are written.
+    """
+    own = common.materialize(signatures(chunks, folder, id_col, text_col).filter("doc_id is not null"))
     # Of copies, one row stands for all.
-    rest = [F.first(c).alias(c) for c in own.columns if c not in ("doc_id", "node")]
-    texts = common.materialize(own.groupBy("node").agg(F.min("doc_id").alias("id"), *rest))
+    rest = [F.first(c).alias(c) for c in own.columns if c not in ("chunk", "row", "doc_id", "node")]
+    texts = common.materialize(own.groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("place"), *rest))
     met = common.materialize(_met(texts.select("node", F.explode("bands").alias("cell"))))
     few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("node").alias("nodes")).select("nodes")
-    tried = few.mapInArrow(pairs, "a long, b long")
+    tried = few.mapInArrow(_pairs, "a long, b long")
     # In a crowd, nearest ones first, which links most of a large group; what could still link is compared in blocks.
-    many = met.filter(F.col("crowd") > PAIRED).join(texts.drop("id", "bands"), "node")
+    many = common.materialize(met.filter(F.col("crowd") > PAIRED).join(texts.drop("place", "bands"), "node"))
     near = nearest(many.withColumn("label", F.col("node")), likeness)
     met_pairs = common.materialize(tried.unionByName(near).distinct())
+    common.release(met)
     side = lambda c: texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"s{k}").alias(f"{c}{k}") for k in range(SIGNATURE)])
     both = met_pairs.join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SIGNATURE)), F.lit(0))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     loose = (small >= likeness * large - 1e-6) & ((apart <= bits_apart(likeness, 64 * SIGNATURE, LOOSE)) | (small < SMALL))
     asked = common.materialize(both.filter(loose).select("a", "b"))
-    given = common.texts(docs, id_col, text_col).select(F.xxhash64("text").alias("node"), "text")
-    bodies = lambda nodes: common.materialize(given.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    edges = common.materialize(verified(asked, bodies(asked.select(F.explode(F.array("a", "b")).alias("node"))), likeness))
+    common.release(met_pairs)
+    placed = lambda nodes: texts.join(nodes.distinct(), "node", "left_semi").select("node", "place.chunk", "place.row")
+    held = common.materialize(bodies(placed(asked.select(F.explode(F.array("a", "b")).alias("node"))), folder, text_col))
+    edges = common.materialize(verified(asked, held, likeness))
+    common.release(asked, held)
     found = components(edges)
     labelled = many.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("cell")
     left = common.materialize(open_rows(labelled.join(mixed, "cell", "left_semi"), likeness))
+    common.release(many)
     if not left.isEmpty():
-        found = components(edges.unionByName(verified_blocks(left, bodies(left.select("node")), likeness)))
-    classes = common.materialize(texts.select("node", "id").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        held = common.materialize(bodies(placed(left.select("node")), folder, text_col))
+        more = common.materialize(verified_blocks(left, held, likeness))
+        common.release(held, found)
+        found = components(edges.unionByName(more))
+        common.release(more)
+    common.release(left, edges)
+    classes = common.materialize(texts.select("node", F.col("place.doc_id").alias("id")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    common.release(texts, found)
     named = classes.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
     named = common.materialize(classes.join(named, "label").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("first")))
-    return own.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "first")
+    common.release(classes)
+    return own.select("chunk", "row", "doc_id", "node").join(named, "node").select("chunk", "row", "doc_id", "node", "class_id", "first")
+
+
+def near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class) of all rows whose doc_id is not null."""
+    folder = common.shared_dir(docs.sparkSession)
+    chunks = files.write(common.texts(docs, id_col, text_col), folder, "doc_id", "text")
+    out = common.materialize(near_classes(chunks, folder, likeness).select("doc_id", "class_id"))
+    common.remove(docs.sparkSession, folder)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each class those with its smallest id and, of that id's texts, one; rows without an id.
+
+    Equal rows with that id all stay. Wide rows are written once, in chunks, and never shuffled.
+    """
+    folder = common.shared_dir(docs.sparkSession)
+    chunks = files.write(docs, folder, id_col, text_col)
+    classes = near_classes(chunks, folder, likeness, id_col, text_col)
+    gone = common.materialize(classes.filter("doc_id <> class_id or node <> first").select("chunk", "row"))
+    return files.kept(chunks, folder, gone, docs.schema)

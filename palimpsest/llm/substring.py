@@ -18,13 +18,12 @@ documents share is as many entries as there are chunks. No pairs are made. Block
 depend on it), windows by 64.
 
 Null texts are empty and repeats of one document are judged by their start. Rows of one id count as one document's copies: of
-equal rows one keeps its words (which, where their chunks differ, is unspecified), of an id's different
-texts likewise. A null id comes first. An empty table gives no rows.
+equal rows one keeps its words, of an id's different texts likewise: the first in a chunk, and of chunks the one with the
+smaller number, which is drawn at random. A null id comes first. A very long text is one chunk. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chunks as files
 from . import common
 
 WINDOW = 20
 BLOCK = WINDOW // 2
 #: Text bytes of a chunk, and hashes of a bucket, on average.
-CHUNK_BYTES, BUCKET_HASHES = 8 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_HASHES = 4 << 20, 1 << 20
 _ID, _TEXT = "doc_id", "text"
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CHUNKS = "chunk string, docs long, words long"
-PACKED = "bucket int, chunk string, packed binary"
+PACKED = "bucket int, chunk long, packed binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -73,17 +72,22 @@ def rolling(words: np.ndarray, size: int, by: int) -> np.ndarray:
 class Chunk:
     """Documents in order of their ids, as one sequence of word hashes."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str):
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, keep: bool = False):
+        """keep: the words themselves as well."""
         from xxhash import xxh64_intdigest
 
-        self.table = table
-        texts = [t or b"" for t in table.column(text_col).cast(pa.binary()).to_pylist()]
-        self.words = [t.split() for t in texts]
-        self.ids = table.column(id_col).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
-        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.table, self.words, parts = table, [], [np.zeros(0, np.uint64)]
+        for piece in table.column(text_col).cast(pa.binary()).iterchunks():
+            for text in piece:
+                words = (text.as_py() or b"").split()
+                parts.append(np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+                if keep:
+                    self.words.append(words)
+        self.ids = files.ids_of(table, id_col)
+        sizes = np.array([len(x) for x in parts[1:]], dtype=np.int64)
         self.stops = np.cumsum(sizes)
         self.starts = self.stops - sizes
-        flat = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(xxh64_intdigest, w), dtype=np.uint64, count=len(w)) for w in self.words)])
+        flat = np.concatenate(parts)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.room = self.stops[self.doc] - np.arange(len(flat)) if len(flat) else np.zeros(0, np.int64)
         self.hashes = flat
@@ -102,12 +106,6 @@ class Chunk:
         return g[at], at
 
 
-def _load(folder: str, chunk: str, id_col: str, text_col: str) -> Chunk:
-    fs, root = common.file_system(folder)
-    with fs.open_input_file(f"{root}/{chunk}") as f:
-        return Chunk(pa.ipc.open_file(f).read_all(), id_col, text_col)
-
-
 def _by_bucket(values: np.ndarray, bits: int, top: int) -> Iterator[tuple[int, slice]]:
     """Bucket, its place in the ascending values of ``top`` bits."""
     bucket = (values >> np.uint64(top - bits)).astype(np.int64)
@@ -124,38 +122,6 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def write_chunks(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """Writes the rows, with all columns, in chunk files; one row (chunk, docs, words) for each.
-
-    A chunk has a name of its own attempt, and the list is materialised: what a task that is run again left before is not in it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = common.file_system(folder)
-        fs.create_dir(root, recursive=True)
-
-        def write(held):
-            table = pa.Table.from_batches(held)
-            order = np.lexsort((np.arange(table.num_rows), table.column(id_col).cast(pa.int64()).fill_null(-(2**63)).to_numpy()))
-            table = table.take(pa.array(order))
-            chunk = uuid.uuid4().hex
-            with fs.open_output_stream(f"{root}/{chunk}") as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table, max_chunksize=4096)
-            return _batch([(chunk, table.num_rows, sum(len((t or b"").split()) for t in table.column(text_col).cast(pa.binary()).to_pylist()))], CHUNKS)
-
-        held, size = [], 0
-        for batch in common.slices(batches, CHUNK_BYTES // 8):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK_BYTES:
-                yield write(held)
-                held, size = [], 0
-        if held:
-            yield write(held)
-
-    return common.materialize(docs.mapInArrow(run, CHUNKS))
-
-
 def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words that are left, joined by one blank.
 
@@ -166,11 +132,11 @@ def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: b
     if not in_place:
         docs = docs.select(F.col(id_col).cast("long").alias(_ID), F.col(text_col).cast("string").alias(_TEXT))
         id_col, text_col = _ID, _TEXT
-    chunks = write_chunks(docs, folder, id_col, text_col)
+    chunks = files.write(docs, folder, id_col, text_col, CHUNK_BYTES)
     n, total = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).head()
-    bits = max(4, min(16, (total // BUCKET_HASHES).bit_length()))
+    bits = max(4, (total // BUCKET_HASHES).bit_length())  # a bucket stays as small, however much there is
     tasks = max(1, min(n, 10_000))
-    load = lambda chunk: _load(folder, chunk, id_col, text_col)
+    load = lambda chunk, keep=False: Chunk(files.load(folder, chunk), id_col, text_col, keep)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,8 +170,8 @@ def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: b
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, hits = load(chunk), np.sort(np.concatenate([unpack(x) for x in packed]))
+            for at_row, chunk in enumerate(batch.column(0).to_pylist()):
+                own, hits = load(chunk), np.sort(np.concatenate([unpack(x) for x in batch.column(1)[at_row].as_py()]))
                 g, at, _ = own.blocks()
                 hit = np.zeros(len(own.hashes) + WINDOW, dtype=np.int64)
                 hit[at[np.isin(g, hits)]] = 1
@@ -233,16 +199,18 @@ def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: b
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = load(chunk)
+            for at_row, chunk in enumerate(batch.column(0).to_pylist()):
+                own = load(chunk, keep=True)
                 w, at = own.windows()
-                lost = np.isin(w, np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in packed or [])]))
+                lost = np.isin(w, np.concatenate([np.zeros(0, np.uint64), *(unpack(x) for x in batch.column(1)[at_row].as_py() or [])]))
                 lost |= _again(w)
                 edge = np.zeros(len(own.hashes) + WINDOW + 1, dtype=np.int64)
                 np.add.at(edge, at[lost], 1)
                 np.add.at(edge, at[lost] + WINDOW, -1)
                 gone = np.cumsum(edge)[: len(own.hashes)] > 0
                 yield from _left(own, gone, text_col, in_place)
+                del own, gone, edge, w, at, lost
+                pa.default_memory_pool().release_unused()
 
     paths = common.materialize(chunks.select("chunk").repartition(tasks))
     dealt = lambda df: df.groupBy("bucket")
@@ -250,6 +218,7 @@ def dedup(docs: DataFrame, id_col: str = _ID, text_col: str = _TEXT, in_place: b
     spread = lambda df: df.repartition(tasks, "chunk")
     hits = common.materialize(dealt(spread(paths).mapInArrow(probe, PACKED)).applyInArrow(anchors, PACKED))
     lost = common.materialize(dealt(spread(gathered(hits)).mapInArrow(extend, PACKED)).applyInArrow(firsts, PACKED))
+    common.release(hits)
     last = spread(paths.join(gathered(lost), "chunk", "left"))
     return last.mapInArrow(cover, docs.schema if in_place else "doc_id long, n_words long, n_removed long, kept string")
 

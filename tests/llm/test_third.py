@@ -22,8 +22,19 @@ def classes(prints):
     names = {}
     for i, f in prints:
         names.setdefault(f, []).append(i)
-    x = np.array(list(names), dtype=np.uint64)
-    label = simhash._classes(x, 2)
+    prints_ = list(names)
+    label = list(range(len(prints_)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i, f in enumerate(prints_):
+        for j in range(i):
+            if (f ^ prints_[j]).bit_count() <= 2:
+                label[root(i)] = root(j)
+    label = [root(k) for k in range(len(prints_))]
     least = {}
     for k, f in enumerate(names):
         known = [i for i in names[f] if i is not None]
