@@ -69,6 +69,21 @@ def test_run_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_run_with_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Columns named as those that the operators make stay as they are; a text of a million words is deduplicated and packed whole."""
+    words = [f"w{k}" for k in range(1_000_000)]
+    rows = [(1, " ".join(words), "a", 7, "x", "n", [1], "c", 5), (2, "a short text of six words", "b", 8, "y", "m", [2], "d", 6), (3, " ".join(["new"] * 19 + words[500:600]), "c", 9, "z", None, None, None, None)]
+    names = "doc_id long, text string, gone string, row int, chunk string, node string, bands array<int>, class_id string, first int"
+    docs = spark.createDataFrame(rows, names)
+    single = common.materialize(corpus_pipeline.drop_near_duplicates(spark, docs, ""))
+    key = lambda r: r[0]
+    assert single.columns == docs.columns and sorted(map(tuple, single.collect()), key=key) == rows
+    cut = sorted(corpus_pipeline.cut_repeats(spark, single, "").collect(), key=key)
+    assert [tuple(r)[2:9] for r in cut] == [r[2:] for r in rows] and cut[0].text == rows[0][1] and cut[2].text == " ".join(["new"] * 19)
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r.length for r in packed if r.doc_id == 1) > 1_000_000 and {r.doc_id for r in packed} == {1, 2, 3}
+
+
 def test_an_id_with_two_texts(spark):
     """Only the text that repeats another goes; of two near copies with one id, one stays."""
     words = [f"w{k}" for k in range(300)]
