@@ -2,7 +2,8 @@
 
 Vectors are lifted by one coordinate to one norm, which makes the largest inner product the least Euclidean distance. Distances to
 pivots are computed once for every row, and by the triangle inequality the largest difference of two rows' distances to
-a pivot bounds their own distance from below.
+a pivot bounds their own distance from below. A block has pivots of its own besides: a product with a row is at most the one with the row's
+nearest local pivot plus the query's length times the row's distance to it, which is a bound of the distance again. The larger bound counts.
 
 1. A bounded sample gives the pivots, and each query its k-th best score there: no later one need be under it.
 2. Candidates are dealt to blocks by their nearest pivot (a pivot with many rows has many blocks). A block knows the least and largest
@@ -35,6 +36,8 @@ from . import common
 
 #: Pivots, rows of the sample, candidates of a block on average, queries of a file, queries at a time, and the first portion.
 PIVOTS, SAMPLE, BLOCK, FILE, AT_ONCE, FIRST = 32, 2048, 8192, 4096, 128, 64
+#: Rows of a block for each pivot of its own.
+LOCAL = 64
 EXACT = 2**53
 _MOST, _LEAST = 2**63 - 1, -(2**63)
 FOUND = "query_id long, vec_id long, score long"
@@ -101,18 +104,29 @@ class Space:
 
 def best_of_block(space: Space, queries: np.ndarray, query_ids: np.ndarray, least: list, table: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
     """(query number, id, score) of each query's best k in the block that score at least ``least`` (None: any), and how many products were evaluated."""
+    rows, asked = table.astype(np.float64), queries.astype(np.float64)
     bounds, near = space.apart(space.lifted(table)), space.query_apart(queries)
+    local = choose_pivots(rows, -(-len(rows) // LOCAL))
+    apart = np.sqrt(np.maximum((rows**2).sum(axis=1)[:, None] + (local**2).sum(axis=1)[None, :] - 2 * rows @ local.T, 0))
+    own = apart.argmin(axis=1)
+    radius = apart[np.arange(len(rows)), own]
+    widest = np.zeros(len(local))
+    np.maximum.at(widest, own, radius)
     low_edge, high_edge = bounds.min(axis=0), bounds.max(axis=0)
-    norms = [float(x) for x in (queries.astype(np.float64) ** 2).sum(axis=1)]
+    norms = [float(x) for x in (asked**2).sum(axis=1)]
+    length, reach2 = np.sqrt(norms), np.array(norms) + space.radius2
+    far = lambda q, most: np.sqrt(np.maximum(reach2[q, None] - 2 * most, 0)).astype(np.float32)  # noqa: E731  at least this far, if the product is at most that
     limits = np.array([space.reach(n, s) for n, s in zip(norms, least, strict=True)])
     whole = np.maximum(low_edge[None, :] - near, near - high_edge[None, :]).max(axis=1)
     asking = np.flatnonzero(whole <= limits)
+    asking = asking[far(asking, asked[asking] @ local.T + length[asking, None] * widest[None, :]).min(axis=1) <= limits[asking]] if len(asking) else asking
     out, done = [], 0
     for at in range(0, len(asking), AT_ONCE):
         part = asking[at : at + AT_ONCE]
         low = np.zeros((len(part), len(table)), dtype=np.float32)
         for p in range(bounds.shape[1]):
             np.maximum(low, np.abs(near[part, p, None] - bounds[None, :, p]), out=low)
+        np.maximum(low, far(part, (asked[part] @ local.T)[:, own] + length[part, None] * radius[None, :]), out=low)
         for j, i in enumerate(part.tolist()):
             c = np.flatnonzero((low[j] <= limits[i]) & (ids != query_ids[i]))
             c = c[np.argsort(low[j, c], kind="stable")]
