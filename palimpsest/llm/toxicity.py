@@ -5,7 +5,8 @@ a document's is the noisy-or of its sentences: 1 - prod(1 - p). Only documents h
 among its sentences, so the trained model also locates the offending ones.
 
 The model is fitted on the driver on a bounded sample: at most ``PER_CLASS`` labelled documents of each class, by hash of
-their ids, weighted back to the classes' true shares. Scoring covers whole texts of all rows.
+their ids, weighted back to the classes' true shares. Every word that tells the classes of the sample apart by ``TOLD`` standard errors
+has a weight, however many those are. Scoring covers whole texts of all rows, very long ones sentence by sentence.
 
 Null and empty texts have no sentence and score as one without known words. Labels that are null, of unknown ids or of a null id
 teach nothing; several labels of one id count as their maximum; without a toxic example every score is
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the training sample and of the words that have a weight.
-PER_CLASS, VOCABULARY = 2000, 2000
+#: Bound of the training sample, a class.
+PER_CLASS = 2000
+#: Standard errors by which a word's shares of toxic and of clean documents differ at least, for it to have a weight.
+TOLD = 2.5
 #: Documents of the sample in which a word must occur, passes of the optimiser, its step, and the decay of weights, shared by all documents.
 LEAST_DOCS, PASSES, STEP, DECAY = 4, 120, 0.1, 0.1
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
@@ -87,7 +90,7 @@ def fit(texts: list[str], toxic: list[int], weight: list[float]) -> Model:
         return abs(a / n[1] - b / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-9)
 
     common_ = [w for k in (0, 1) for w, count in seen[k].items() if (k == 0 or w not in seen[0]) and count + seen[1 - k][w] >= LEAST_DOCS]
-    words = sorted(common_, key=lambda w: (-told(w), w))[:VOCABULARY]
+    words = sorted(w for w in common_ if told(w) >= TOLD)
     del seen
     at = {w: k for k, w in enumerate(words)}
     flat, sizes = array("i"), []
