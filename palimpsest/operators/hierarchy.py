@@ -94,6 +94,23 @@ def rerank(recalled: DataFrame, queries: DataFrame, l2: DataFrame, l3: DataFrame
     return met.withColumn("score", score).drop("rank", "pattern", "identity").withColumn("rank", F.row_number().over(order))
 
 
+def absorb(patterns: DataFrame, clusters: DataFrame, share: float = 0.3) -> DataFrame:
+    """store_id, l2_id, cluster, children: patterns with the clusters that overlap them, and the clusters that no pattern takes.
+
+    A cluster goes to the first pattern, by id, that holds over ``share`` of its children, whose set becomes the union; one that none holds
+    stays as it is, with its number and a null l2_id. patterns: store_id, l2_id, children; clusters: store_id, cluster, children.
+    Children meet by equality, so no two sets are compared that share nothing.
+    """
+    one = patterns.select("store_id", "l2_id", F.explode("children").alias("child"))
+    two = clusters.select("store_id", "cluster", F.size("children").alias("size"), F.explode("children").alias("child"))
+    shared = two.join(one, ["store_id", "child"]).groupBy("store_id", "cluster", "l2_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    taken = shared.filter(F.col("n") > share * F.col("size")).groupBy("store_id", "cluster").agg(F.min("l2_id").alias("l2_id"))
+    added = two.join(taken, ["store_id", "cluster"]).select("store_id", "l2_id", "child")
+    grown = one.unionByName(added).groupBy("store_id", "l2_id").agg(F.sort_array(F.collect_set("child")).alias("children"))
+    free = clusters.join(taken, ["store_id", "cluster"], "left_anti").select("store_id", F.lit(None).cast("long").alias("l2_id"), F.col("cluster").cast("long").alias("cluster"), "children")
+    return grown.select("store_id", "l2_id", F.lit(None).cast("long").alias("cluster"), "children").unionByName(free)
+
+
 def l2_summary(l2: DataFrame, memories: DataFrame) -> DataFrame:
     """Strength, size and shortened texts of each pattern's members."""
     rows = l2.select("store_id", "l2_id", "strength", F.size("children").alias("n"), F.explode("children").alias("mem_id"))

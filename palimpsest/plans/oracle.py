@@ -338,6 +338,14 @@ scored AS (SELECT query_id, mem_id, round((CASE WHEN max(dense) OVER w > min(den
 lifted AS (SELECT r.query_id, r.mem_id, r.score * (0.5 + 0.3 * greatest(0.0, {_cos("r.q", "a.key")}) + 0.2 * greatest(0.0, {_cos("r.q", "b.key")})) AS score FROM ranked r JOIN l2 a ON a.l2_id = r.store_id * 4 + r.ts % 4 JOIN l3 b ON b.l3_id = r.store_id * 2 + a.l2_id % 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS rank, mem_id, {_r("score")} AS score FROM lifted""",
         "l2_summary": MEM + f"\nSELECT store_id * 4 + ts % 4 AS l2_id, {_r('sum(strength)')} AS strength, count(*)::INT AS n, string_agg('memory ' || mem_id, ' | ' ORDER BY mem_id) AS texts FROM mem GROUP BY ALL",
+        "merged_children": MEM
+        + """,
+pat AS (SELECT store_id, store_id * 4 + ts % 4 AS l2_id, mem_id FROM mem),
+run AS (SELECT store_id, ts // 5 AS cluster, mem_id, count(*) OVER (PARTITION BY store_id, ts // 5) AS size FROM mem),
+took AS (SELECT store_id, cluster, min(l2_id) AS l2_id FROM (SELECT r.store_id, r.cluster, p.l2_id FROM run r JOIN pat p ON p.store_id = r.store_id AND p.mem_id = r.mem_id GROUP BY r.store_id, r.cluster, p.l2_id HAVING count(*) > 0.3 * any_value(r.size)) GROUP BY ALL),
+grown AS (SELECT * FROM pat UNION SELECT r.store_id, t.l2_id, r.mem_id FROM run r JOIN took t ON t.store_id = r.store_id AND t.cluster = r.cluster)
+SELECT store_id, l2_id, NULL::BIGINT AS cluster, count(*)::INT AS n, min(mem_id) AS least, max(mem_id) AS most FROM grown GROUP BY store_id, l2_id
+UNION ALL SELECT store_id, NULL, cluster, count(*)::INT, min(mem_id), max(mem_id) FROM run r WHERE NOT EXISTS (SELECT 1 FROM took t WHERE t.store_id = r.store_id AND t.cluster = r.cluster) GROUP BY store_id, cluster""",
         "shared_merge": MEM
         + CENTRES
         + CPAIRS

@@ -432,6 +432,14 @@ def consolidate(spark, d):
     return shown(l2, "l2_id", 2).unionByName(shown(l3, "l3_id", 3))
 
 
+def merged_children(spark, d):
+    """Runs of five memories, absorbed by the patterns that hold enough of them."""
+    mem = t.memories(spark, d)
+    runs = mem.groupBy("store_id", F.floor(F.col("ts") / 5).alias("cluster")).agg(F.sort_array(F.collect_list("mem_id")).alias("children"))
+    out = hierarchy.absorb(_l2(mem).select("store_id", F.col("l2_id"), "children"), runs)
+    return out.select("store_id", "l2_id", "cluster", F.size("children").alias("n"), F.array_min("children").alias("least"), F.array_max("children").alias("most"))
+
+
 def shared_merge(spark, d):
     mem = t.memories(spark, d)
     own = recall.dense_topk(t.centres(mem), mem, C.top_k)
