@@ -5,7 +5,7 @@ a document's is the noisy-or of its sentences: 1 - prod(1 - p). Only documents h
 among its sentences, so the trained model also locates the offending ones.
 
 The model is fitted on the driver on a bounded sample: at most ``PER_CLASS`` labelled documents of each class, by hash of
-their ids, weighted back to the classes' true shares. Every word that tells the classes of the sample apart by ``TOLD`` standard errors
+their ids, but for texts of over ``LONGEST`` bytes, weighted back to the classes' true shares. Every word that tells the classes of the sample apart by ``TOLD`` standard errors
 has a weight, however many those are. Scoring covers whole texts of all rows, very long ones sentence by sentence.
 
 Null and empty texts have no sentence and score as one without known words. Labels that are null, of unknown ids or of a null id
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample, a class.
-PER_CLASS = 2000
+#: Bounds of the training sample: documents of a class, and bytes of a document (longer ones are not in the sample).
+PER_CLASS, LONGEST = 2000, 100_000
 #: Standard errors by which a word's shares of toxic and of clean documents differ at least, for it to have a weight.
 TOLD = 2.5
 #: Documents of the sample in which a word must occur, passes of the optimiser, its step, and the decay of weights, shared by all documents.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     by_hash = lambda k: labels.filter(F.col("toxic") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(per_class)
     sample = by_hash(0).unionByName(by_hash(1))  # at most 2 * per_class rows
-    rows = common.texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    rows = common.texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).filter(F.octet_length("text") <= LONGEST).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     taken = Counter(r["toxic"] for r in rows)
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [counts[r["toxic"]] / taken[r["toxic"]] for r in rows])
