@@ -35,13 +35,18 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)
 
 
+def units(table: pa.Table, name: str) -> np.ndarray:
+    """A column of vectors as unit rows."""
+    return _units(_matrix(table.column(name)))
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     """Unit rows; (nearly) zero ones are zero, so that their cosines are."""
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.where(n < 1e-8, 0.0, x / np.maximum(n, 1e-300))
 
 
-def _dealt(queries: DataFrame, memories: DataFrame, asked: list[str], held: list[str]):
+def dealt(queries: DataFrame, memories: DataFrame, asked: list[str], held: list[str]):
     """Both sides, grouped by pairs of blocks of a store: the columns ``asked`` of queries meet the columns ``held`` of memories.
 
     A store of n memories and m queries is n / BLOCK times m / BLOCK pairs of blocks, so a large store is many tasks.
@@ -86,7 +91,7 @@ def in_blocks(queries: DataFrame, memories: DataFrame, k: int | None) -> DataFra
                 out.append((names[at + i], ids[j], score[i, j]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "mem_id", "score"])
 
-    return _dealt(queries, memories, ["q"], ["key"]).applyInArrow(run, PAIRS)
+    return dealt(queries, memories, ["q"], ["key"]).applyInArrow(run, PAIRS)
 
 
 def dense_topk(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
@@ -112,7 +117,7 @@ def weighted_value(queries: DataFrame, memories: DataFrame, dim: int) -> DataFra
                 weights.append(w.sum(axis=1))
         return pa.table({"query_id": np.concatenate(names), "v": pa.array(list(np.concatenate(sums)), pa.list_(pa.float64())), "w": np.concatenate(weights)})
 
-    found = _dealt(queries.select("query_id", "store_id", "q"), memories.select("store_id", "mem_id", "key", "value", "strength"), ["q"], ["key", "value", "strength"])
+    found = dealt(queries.select("query_id", "store_id", "q"), memories.select("store_id", "mem_id", "key", "value", "strength"), ["q"], ["key", "value", "strength"])
     found = found.applyInArrow(run, "query_id long, v array<double>, w double")
     sums = found.groupBy("query_id").agg(sum_vectors("v", F.lit(1.0), dim).alias("v"), F.sum("w").alias("w"))
     return sums.select("query_id", F.when(F.col("w") >= 1e-8, F.transform("v", lambda x: x / F.col("w"))).alias("value"))
@@ -180,7 +185,7 @@ def multi_head_best(queries: DataFrame, memories: DataFrame, state: DataFrame, c
             most = np.concatenate(out)
             return pa.table([asked.column("query_id").slice(0, len(most)), *(pa.array(most[:, i]) for i in range(4))], names=["query_id", "m1", "m2", "m3", "m4"])
 
-        found = _dealt(asked, held, ["q"], columns).applyInArrow(largest, "query_id long, m1 double, m2 double, m3 double, m4 double")
+        found = dealt(asked, held, ["q"], columns).applyInArrow(largest, "query_id long, m1 double, m2 double, m3 double, m4 double")
         most = found.groupBy("query_id").agg(*[F.max(f"m{i}").alias(f"m{i}") for i in range(1, 5)])
         weights = _softmax([*(F.col(f"m{i}") for i in range(1, 5)), F.lit(0.0)], c)
         asked = asked.join(most.select("query_id", F.array(*weights[:4]).alias("w")), "query_id")
@@ -201,7 +206,7 @@ def multi_head_best(queries: DataFrame, memories: DataFrame, state: DataFrame, c
                 out.append((names[at + i], stores[at + i], ids[j], x[0][i, j], score[i, j]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "store_id", "mem_id", "h1", "score"])
 
-    return _dealt(asked, held, ["q", "w"], columns).applyInArrow(run, "query_id long, store_id long, mem_id long, h1 double, score double")
+    return dealt(asked, held, ["q", "w"], columns).applyInArrow(run, "query_id long, store_id long, mem_id long, h1 double, score double")
 
 
 def multi_head(queries: DataFrame, memories: DataFrame, state: DataFrame, c: Config, sparse: DataFrame | None = None) -> DataFrame:

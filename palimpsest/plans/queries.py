@@ -228,7 +228,8 @@ def feedback_edges(spark, d):
 
 
 def _best(spark, d):
-    return decisions.best_match(decisions.incoming(t.memories(spark, d)))
+    mem = t.memories(spark, d)
+    return decisions.best_match(decisions.signals(mem, C), mem)
 
 
 def contradiction_flags(spark, d):
@@ -245,32 +246,27 @@ def soft_value_drift(spark, d):
 
 def multichannel_flags(spark, d):
     mem = t.memories(spark, d)
-    best = decisions.best_match(decisions.incoming(mem)).join(t.state(mem).select("store_id", "context"), "store_id").withColumn("m_context", F.when(F.col("m_mem_id") % 3 > 0, F.col("m_key")))
+    best = decisions.best_match(decisions.signals(mem, C), mem).join(t.state(mem).select("store_id", "context"), "store_id").withColumn("m_context", F.when(F.col("m_mem_id") % 3 > 0, F.col("m_key")))
     return decisions.multichannel(best, C).select("mem_id", "m_mem_id", r6("disp_sim", "disp_sim"), r6("ctx_sim", "ctx_sim"), "contradiction")
 
 
-def _entropy(met):
-    return decisions.entropy(met, ["store_id", "mem_id"], "ok", C)
-
-
 def attention_entropy(spark, d):
-    return _entropy(decisions.incoming(t.memories(spark, d))).select("mem_id", r6("entropy", "entropy"))
+    return decisions.signals(t.memories(spark, d), C).select("mem_id", r6("entropy", "entropy"))
 
 
 def gate_chain(spark, d):
     mem = t.memories(spark, d)
-    met = decisions.incoming(mem)
     c = replace(C, gate_w_entropy=0.1, theta_create=0.45, theta_out_filter=0.5)
     # What comes is compared with the context vector as the turns before have left it (Eq 8).
     states = ingest.context_states(mem.select("store_id", F.col("ts").alias("turn"), F.col("key").alias("e")), c)
     before = states.select("store_id", (F.col("turn") + 1).alias("ts"), "context", norm("context").alias("c_norm"))
     along = mem.join(before, ["store_id", "ts"]).select("store_id", "mem_id", cosine("key", "context", "key_norm", "c_norm").alias("d_ctx"))
-    signals = decisions.gate_signals(met).join(_entropy(met), ["store_id", "mem_id"]).join(along, ["store_id", "mem_id"])
+    signals = decisions.signals(mem, c).join(along, ["store_id", "mem_id"])
     return decisions.gated(signals, c).select("mem_id", r6("best", "best"), r6("r_out", "r_out"), r6("r_val", "r_val"), r6("d_ctx", "d_ctx"), r6("gate", "gate"), "action")
 
 
 def soft_decision(spark, d):
-    out = decisions.soft_decisions(decisions.incoming(t.memories(spark, d)), C)
+    out = decisions.soft_decisions(decisions.signals(t.memories(spark, d), C), C)
     return out.select("mem_id", r6("sharpness", "sharpness"), r6("threshold", "threshold"), r6("cold", "cold"), r6("p_strengthen", "p_strengthen"), "strengthen")
 
 
