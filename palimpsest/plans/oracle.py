@@ -251,6 +251,18 @@ SELECT user_id, {_r("level")} AS level, {_r("CASE WHEN max(level) OVER () - min(
         + _edges()
         + _spread(start=",\nact AS (SELECT query_id, store_id, mem_id, score AS s0, 1.0 AS sim FROM scored)")
         + COLLECT,
+        "graph_recall_reranked": MEM
+        + CENTRES
+        + CPAIRS
+        + EFFECTIVE
+        + f",\neffpairs AS (SELECT e.query_id, e.q_eff, m.store_id, m.mem_id, m.ts, m.strength, m.key, {_cos('e.q_eff', 'm.key')} AS kk, {_cos('e.q_eff', 'm.value')} AS kv FROM eff e JOIN mem m ON e.store_id = m.store_id)"
+        + _heads().replace("FROM pairs p", "FROM effpairs p")
+        + _edges()
+        + _spread(aware=True, start=",\nact AS (SELECT query_id, store_id, mem_id, score AS s0, kk AS sim FROM scored)")
+        + HIERARCHY
+        + f""",
+lifted AS (SELECT r.query_id, r.mem_id, r.activation * (0.5 + 0.3 * greatest(0.0, {_cos("e.q_eff", "a.key")}) + 0.2 * greatest(0.0, {_cos("e.q_eff", "b.key")})) AS score FROM spread r JOIN eff e ON e.query_id = r.query_id JOIN mem m ON m.mem_id = r.mem_id JOIN l2 a ON a.l2_id = r.store_id * 4 + m.ts % 4 JOIN l3 b ON b.l3_id = r.store_id * 2 + a.l2_id % 2 WHERE r.activation >= 0.01)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mem_id) AS rank, mem_id, {_r("score")} AS score FROM lifted""",
         "classic_graph_recall": MEM + CENTRES + CPAIRS + _edges() + _spread(start=",\nact AS (SELECT query_id, store_id, mem_id, strength * kk AS s0, 1.0 AS sim FROM pairs)") + COLLECT,
         "search_report": MEM
         + CENTRES

@@ -192,6 +192,17 @@ def graph_recall(spark, d):
     return spread.collect(spread.spread(scored, edges.build_edges(mem, C), C), C).select("query_id", "rank", "mem_id", r6("activation", "activation"))
 
 
+def graph_recall_reranked(spark, d):
+    """The whole serving path with query-aware spreading, ranked anew by patterns and identities (Eq 20, 23)."""
+    c = replace(C, query_aware_spread_enabled=True)
+    mem = t.memories(spark, d)
+    state, l2 = t.state(mem), _l2(mem)
+    q = recall.effective_query(t.centres(mem), mem, state, c).select("query_id", "store_id", F.col("q_eff").alias("q"))
+    scored = recall.multi_head(q, mem, state, c).select("query_id", "store_id", "mem_id", F.col("score").alias("a0"), F.col("h1").alias("sim"))
+    found = spread.collect(spread.spread(scored, edges.build_edges(mem, c), c), c).withColumnRenamed("activation", "score")
+    return _shown(hierarchy.rerank(found, q, l2, _l3(l2), c))
+
+
 def classic_graph_recall(spark, d):
     """Spreading from strength times similarity, which may be negative."""
     mem = t.memories(spark, d)
