@@ -124,6 +124,8 @@ def chat(path: str) -> Chat:
     return _CHATS[path]
 
 
+#: Conversations that a worker holds as Python lists at once.
+AT_ONCE = 100
 FORMATTED = "conv_id long, ids array<int>, loss_mask array<tinyint>, formatted string"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -134,8 +136,8 @@ def format_conversations(rows: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chat(ranks_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 done = [own.encode([(t["role"], t["text"]) for t in turns]) for turns in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.list_(pa.int8())), pa.array([d[2] for d in done], pa.string())],
@@ -152,7 +154,7 @@ def read_back(formatted: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = chat(ranks_path)
-        for batch in batches:
+        for batch in common.slices(batches, rows=AT_ONCE):
             out = []
             for name, ids, mask, shown in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 turns, loss, again = own.decode(ids, mask)
