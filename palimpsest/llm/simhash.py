@@ -113,9 +113,12 @@ def segment_counts(fp: Column) -> Column:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Those of the rows (cell, ...) whose cell has company, with its number of rows."""
+    """Those of the rows (cell, ...) whose cell has company, with its number of rows.
+
+    The planner takes exploded rows to be as few as what they come from and would collect them all on the driver to broadcast them, hence the hint.
+    """
     company = rows.groupBy("cell").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    return rows.join(company, "cell")
+    return rows.hint("merge").join(company, "cell")
 
 
 def _classes(x: np.ndarray, most: int) -> np.ndarray:
@@ -156,7 +159,7 @@ def links(nodes: DataFrame) -> DataFrame:
     crowded = met.filter(F.col("crowd") > CROWD).select("fp").distinct()
     around = crowded.select("fp", F.explode(flips(F.col("fp"), 64)).alias("hub"))
     least = around.groupBy("hub").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    hubs = around.join(least, "hub").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    hubs = around.hint("merge").join(least, "hub").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     return near.unionByName(hubs).filter("a <> b").distinct()
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import common, simhash, substring, topk
 from palimpsest.llm.components import components
@@ -71,6 +72,15 @@ def test_simhash_links_with_and_without_crowds(spark, monkeypatch):
         assert all(seen.setdefault(a, b) == b for a, b in zip(own, want.tolist(), strict=True)) and len(set(own)) == len(set(want.tolist()))
 
 
+def test_exploded_rows_are_never_broadcast(spark):
+    """The planner takes them for as small as the fingerprints, so their joins must not be left to it."""
+    nodes = common.materialize(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    rows = nodes.select("fp", F.explode(simhash.cells(simhash.segment_counts(F.col("fp")), 32)).alias("cell"))
+    for df in (simhash._met(rows), simhash.links(nodes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_odd_rows(spark):
     rows = [(5, None, 1), (4, "", 1), (7, " \t", 1), (None, "only here", 1), (2, "ABC é", 1), (3, "abc é", 1), (3, "abc é", 1), (9, "a " * 60_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
