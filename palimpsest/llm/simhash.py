@@ -10,10 +10,12 @@ bits share a word within one bit of each, and each links to the least fingerprin
 too, and linear.
 
 ``groups`` is the contract's operator. ``near_duplicates`` finds texts with a likeness (Jaccard) of 0.8 or more of their sets of
-five-word shingles: those that share a band of least shingle hashes meet, wherever the edits are, and a signature of
-512 bits of the shingles tells which of them are worth a look, and the sets themselves decide. In a cell of over ``PAIRED``
-texts each is tried with the nearest by signature first; then the texts of its blocks that might link to another class are compared
-with each other, all pairs at once in the worker, so that no pair of a cell goes undecided.
+five-word shingles. Texts meet in the same grid, by a fingerprint of these shingles, which brings together all that are within two bits;
+texts at 0.8 can be further apart than that, so those that share a band of least shingle hashes meet as well, wherever the edits are.
+Both are cells of one table. A signature of 512 bits, of which the fingerprint is the first word, tells which meetings are
+worth a look, and the sets themselves decide. In a cell of over ``PAIRED`` texts each is tried with the nearest by signature first;
+then the texts of its blocks that might link to another class are compared with each other, all pairs at once in the worker,
+so that no pair of a cell goes undecided.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated rows share a
 class. A null doc_id is in a class but never names one. An empty table gives no rows. Columns other than id and text
@@ -361,6 +363,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
 
 
+def meetings(texts: DataFrame) -> DataFrame:
+    """(node, cell): grid cells of each text's fingerprint, and its bands. texts: node, s0 (the fingerprint), bands.
+
+    Counts of two-bit segments are no words that a band, which is a hash, has but by chance; such a meeting would be verified like any other.
+    """
+    grid = cells(segment_counts(F.col("s0")), 32)
+    return texts.select("node", F.explode(F.concat(grid, F.col("bands"))).alias("cell"))
+
+
 def near_classes(chunks: DataFrame, folder: str, likeness: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """chunk, row, doc_id, node (64-bit hash of the text), class_id, first (a node of the class that has class_id) of all rows whose doc_id is not null.
 
@@ -370,7 +381,7 @@ def near_classes(chunks: DataFrame, folder: str, likeness: float = LIKENESS, id_
     # Of copies, one row stands for all.
     rest = [F.first(c).alias(c) for c in own.columns if c not in ("chunk", "row", "doc_id", "node")]
     texts = common.materialize(own.groupBy("node").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("place"), *rest))
-    met = common.materialize(_met(texts.select("node", F.explode("bands").alias("cell"))))
+    met = common.materialize(_met(meetings(texts)))
     few = met.filter(F.col("crowd") <= PAIRED).groupBy("cell").agg(F.collect_list("node").alias("nodes")).select("nodes")
     tried = few.mapInArrow(_pairs, "a long, b long")
     # In a crowd, nearest ones first, which links most of a large group; what could still link is compared in blocks.

@@ -112,6 +112,25 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_meet_in_the_grid(spark, monkeypatch):
+    """Where no two texts share a band, those with fingerprints within two bits meet all the same."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(1500)]
+        copy = list(base)
+        copy[rng.randrange(1500)] = "x"
+        texts += [" ".join(base), " ".join(copy)]
+    prints = [int(simhash.majority(simhash._mixed(simhash._set(t), simhash.SIGNATURE))[0]) for t in texts]
+    close = [k for k in range(0, 60, 2) if (prints[k] ^ prints[k + 1]).bit_count() <= 2]
+    assert 10 < len(close) and any(prints[k] != prints[k + 1] for k in close)
+    whole = simhash.signatures
+    monkeypatch.setattr(simhash, "signatures", lambda *a: whole(*a).withColumn("bands", F.array(F.xxhash64("node", F.lit("lone")))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(got[k + 1] == k for k in close) and all(got[k] == k and got[k + 1] in (k, k + 1) for k in range(0, 60, 2))
+
+
 def block_edits(rng, likeness, way, n=300):
     """A text and a copy with another end, more at the end or a piece cut off, as alike as asked for or just above."""
     base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
